@@ -71,7 +71,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _node_id(*path: int) -> np.uint64:
     h = 0x9E3779B97F4A7C15
     for depth, p in enumerate(path):
-        h = (h * 0x100000001B3 + (p + 1) * 0x9E3779B97F4A7C15 + depth) & 0xFFFFFFFFFFFFFFFF
+        h = (h * 0x100000001B3 + (int(p) + 1) * 0x9E3779B97F4A7C15 + depth) & 0xFFFFFFFFFFFFFFFF
     return np.uint64(h)
 
 
