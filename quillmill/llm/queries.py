@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import quality, sharding, simhash, warc
 from .common import table
 
 
@@ -12,6 +12,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_histories(table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_simhash": op7_simhash}
 
 ORACLES: dict[str, str] = {}
