@@ -133,8 +133,8 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and is rejected; repeated rows meet the same verdict.
     """
-    judged = features(docs).withColumn("_failed", verdict(ordered_rules(docs, rules())))
-    return judged.filter(F.col("_failed").isNull()).select(*(docs[c] for c in docs.columns))
+    judged = features(docs.select(F.struct("*").alias("_doc"), "text")).withColumn("_failed", verdict(ordered_rules(docs, rules())))
+    return judged.filter(F.col("_failed").isNull()).select("_doc.*")
 
 
 def judge(docs: DataFrame) -> DataFrame:
