@@ -133,8 +133,9 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and is rejected; repeated rows meet the same verdict.
     """
-    judged = features(docs.select(F.struct("*").alias("_doc"), "text")).withColumn("_failed", verdict(ordered_rules(docs, rules())))
-    return judged.filter(F.col("_failed").isNull()).select("_doc.*")
+    # a Filter would be pushed below the word list and work it out anew for each use; a generator isn't
+    kept = F.when(verdict(ordered_rules(docs, rules())).isNull(), F.array("_doc"))
+    return features(docs.select(F.struct("*").alias("_doc"), "text")).select(F.inline(kept))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -4,26 +4,100 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding, simhash, warc
+from . import decontamination, langid, line_chunks, quality, secrets, sharding, simhash, sp_tokens, substring_dedup, warc
 from .common import table
 
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(table(spark, sf_dir, "pages"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_simhash": op7_simhash}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_tokens.encode_documents(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_secrets, op3_line_chunks, op4_substring_dedup, op5_warc, op6_quality, op7_simhash, op8_decontamination, op9_langid, op10_sentencepiece, pipeline)
+}
+
+_WORD = r"[^\x20\x09-\x0D]"
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # rules of the cascade as one condition: their order doesn't matter
+    "op6_quality": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}+') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 2),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM g),
+p AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS place FROM h WHERE n > 1),
+r AS (SELECT doc_id, count(*) AS n_repeat_words FROM p GROUP BY doc_id),
+c AS (SELECT w.doc_id, w.text, len(words)::BIGINT AS n_words,
+             length(array_to_string(words, ''))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             n_symbols * 10 > n_words * 3
+             OR 2 * length(regexp_replace(text, '\P{{Lu}}', '', 'g')) > length(regexp_replace(text, '\P{{L}}', '', 'g'))
+             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+             OR 2 * n_dup_lines > n_lines AS more_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR more_failed) AS kept FROM f
+""",
+    "op8_decontamination": r"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+n AS (SELECT side, id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '\s+'),
+             lambda x: regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '')), lambda x: x <> '') AS words FROM w),
+i AS (SELECT id AS item_id, least(5, len(words)) AS width, words FROM n WHERE side = 'i' AND len(words) > 0),
+si AS (SELECT DISTINCT item_id, width, array_to_string(words[k:k + width - 1], ' ') AS s
+       FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS k FROM i)),
+size AS (SELECT item_id, count(*)::BIGINT AS n_shingles FROM si GROUP BY item_id),
+sd AS (SELECT DISTINCT doc_id, width, array_to_string(words[k:k + width - 1], ' ') AS s
+       FROM (SELECT n.id AS doc_id, x.width, n.words, unnest(range(1, len(n.words) - x.width + 2)) AS k
+             FROM n JOIN (SELECT DISTINCT width FROM i) x ON len(n.words) >= x.width WHERE side = 'd')),
+m AS (SELECT doc_id, item_id, count(*)::BIGINT AS n_matched FROM sd JOIN si USING (width, s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_matched, n_matched / n_shingles AS containment FROM m JOIN size USING (item_id) WHERE n_matched >= 0.8 * n_shingles
+""",
+}
