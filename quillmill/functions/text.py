@@ -36,7 +36,7 @@ def candidates(sentence: Column, least: int = 2) -> Column:
 
 def split_keywords(contents: Column) -> Column:
     """Comma-separated keywords of several meta tags, trimmed, those empty before trimming left out."""
-    return F.transform(F.filter(F.flatten(F.transform(contents, lambda c: F.split(c, ","))), lambda k: k != ""), F.trim)
+    return F.transform(F.filter(F.flatten(F.transform(contents, lambda c: F.split(c, ","))), lambda k: k != ""), lambda k: F.trim(k))
 
 
 def normal_key(key: Column) -> Column:
