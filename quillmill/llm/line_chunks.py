@@ -88,10 +88,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     at the same place all keep it. Other columns pass through, whatever their names.
     """
     gone = removals(docs.select("doc_id", "text"))
-    left = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), "text").withColumn("_h", F.xxhash64("text"))
+    left = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
     joined = left.join(gone.hint("shuffle_hash"), left["_id"].eqNullSafe(gone["doc_id"]) & (left["_h"] == gone["_th"]), "left")
     ranges = F.coalesce(gone["_gone"], F.array().cast("array<struct<start:int,stop:int>>"))
-    return joined.select(left["_doc"], kept_text(left["text"], ranges).alias("_kept"), ranges.alias("_gone"))
+    return joined.select(left["_doc"], kept_text(left["_doc"]["text"], ranges).alias("_kept"), ranges.alias("_gone"))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
