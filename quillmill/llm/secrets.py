@@ -101,7 +101,7 @@ def scan_unseen(versions: DataFrame, rules: list[Rule], ledger: DataFrame | None
         for batch in batches:
             out: list[tuple] = []
             for blob, text, done in zip(*batch.columns, strict=True):
-                name, body, skip = blob.as_py(), text.as_py() or "", set(done.as_py())
+                name, body, skip = blob.as_py(), text.as_py() or "", set(done.as_py() or ())
                 for rank, rule in enumerate(rules):
                     if f"{rule.kind}:{rule.version}" not in skip:
                         out += [(name, rule.kind, rule.version, rank, a, b) for a, b in rule.find(body)]

@@ -74,7 +74,7 @@ def test_boundaries_resist_shifts():
 
 
 def test_a_digest_of_two_texts_removes_nothing(spark):
-    every = spark.createDataFrame([(1, 9, 3, "x\ny"), (2, 9, 3, "x\nz"), (3, 9, 3, "x\ny"), (4, 8, 3, "p\nq"), (5, 8, 3, "p\nq")], "_place decimal(32,0), digest long, n_bytes int, chunk string")
+    every = spark.createDataFrame([(1, 9, 3, "x\ny"), (2, 9, 3, "x\nz"), (3, 9, 3, "x\ny"), (4, 8, 3, "p\nq"), (5, 8, 3, "p\nq")], "_place long, digest long, n_bytes int, chunk string")
     assert [r.digest for r in line_chunks.repeated_chunks(every).collect()] == [8]
 
 
