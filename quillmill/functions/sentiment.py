@@ -54,10 +54,10 @@ def hit_totals(found: Column, lexicon: dict[str, int]) -> tuple[Column, Column]:
     return total.cast("long"), F.size(found).cast("long")
 
 
-def score_of(total: Column, count: Column) -> Column:
-    """The score of a sum and number of hits: 0 without any."""
-    mean = total.cast("double") / count
-    return F.when(count > 0, F.round(sigmoid(mean), DIGITS)).otherwise(F.lit(0.0))
+def score_of(total: Column, count: Column, digits: int | None = DIGITS) -> Column:
+    """The score of a sum and number of hits: 0 without any. Means are taken of scores in full (digits None) and rounded after."""
+    score = sigmoid(total.cast("double") / count)
+    return F.when(count > 0, score if digits is None else F.round(score, digits)).otherwise(F.lit(0.0))
 
 
 def kind_of(score: Column) -> Column:

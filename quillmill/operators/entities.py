@@ -59,10 +59,18 @@ def resolve(pieces: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def sentence_scores(resolved: DataFrame) -> DataFrame:
-    """page_key, sentence_idx, score: the sentiment of the sentence without its entities; candidates stay in."""
+    """page_key, sentence_idx, score (in full): the sentiment of the sentence without its entities; candidates stay in."""
     own = F.when(~F.col("is_entity"), F.col("hit_sum")), F.when(~F.col("is_entity"), F.col("hit_count"))
     sums = resolved.groupBy("page_key", "sentence_idx").agg(F.sum(own[0]).alias("t"), F.sum(own[1]).alias("n"))
-    return sums.select("page_key", "sentence_idx", S.score_of(F.coalesce("t", F.lit(0)), F.coalesce("n", F.lit(0))).alias("score"))
+    return sums.select("page_key", "sentence_idx", S.score_of(F.coalesce("t", F.lit(0)), F.coalesce("n", F.lit(0)), None).alias("score"))
+
+
+def with_sentence_score(resolved: DataFrame) -> DataFrame:
+    """The pieces with their sentence's sentiment, as score: what sentence_scores() gives, found in one pass by a window over each sentence instead of a join with itself."""
+    here = Window.partitionBy("page_key", "sentence_idx")
+    own = lambda c: F.coalesce(F.sum(F.when(~F.col("is_entity"), F.col(c))).over(here), F.lit(0))
+    summed = resolved.withColumn("_t", own("hit_sum")).withColumn("_n", own("hit_count"))
+    return summed.withColumn("score", S.score_of(F.col("_t"), F.col("_n"), None)).drop("_t", "_n")
 
 
 def highlight_mentions(sentences: DataFrame, highlights: DataFrame, gazetteer: DataFrame, double_count: bool = True) -> DataFrame:
@@ -81,8 +89,9 @@ def highlight_mentions(sentences: DataFrame, highlights: DataFrame, gazetteer: D
 
 
 def mentions(resolved: DataFrame) -> DataFrame:
-    """A row for each candidate or entity in a sentence: page_key, site, sentence_idx, is_title, surface, name, category, is_entity."""
-    return resolved.filter("is_candidate").select("page_key", "site", "sentence_idx", "is_title", F.col("piece").alias("surface"), "name", "category", "is_entity")
+    """A row for each candidate or entity in a sentence: page_key, site, sentence_idx, is_title, surface, name, category, is_entity, and score if it is there."""
+    score = ["score"] if "score" in resolved.columns else []
+    return resolved.filter("is_candidate").select("page_key", "site", "sentence_idx", "is_title", F.col("piece").alias("surface"), "name", "category", "is_entity", *score)
 
 
 def scored_mentions(found: DataFrame, scores: DataFrame) -> DataFrame:
@@ -109,7 +118,7 @@ def page_candidates(scored: DataFrame, mode: str = "last") -> DataFrame:
     """
     rows = scored.filter(~F.col("is_entity")).groupBy("page_key", "site", F.col("surface").alias("name"))
     if mode == "last":
-        out = rows.agg(F.lit(1).cast("long").alias("count"), F.max_by("score", "sentence_idx").alias("score"))
+        out = rows.agg(F.lit(1).cast("long").alias("count"), F.round(F.max_by("score", "sentence_idx"), S.DIGITS).alias("score"))
     elif mode == "mean":
         out = rows.agg(F.count("*").alias("count"), F.round(F.avg("score"), S.DIGITS).alias("score"))
     else:
@@ -145,12 +154,10 @@ def extract(pages: DataFrame, gazetteer: DataFrame, lexicon: dict[str, int], mod
     rejects = pages.filter((F.size("text") <= 0) | F.col("text").isNull()).select("page_key", F.lit("no text").alias("reason"))
     sents = sentence_table(good)
     resolved = resolve(piece_table(sents, lexicon), gazetteer)
-    found = mentions(resolved)
-    more = found
+    scored = found = mentions(with_sentence_score(resolved))
     if "highlighted_strings" in pages.columns:
         marks = good.select("page_key", F.explode("highlighted_strings").alias("highlight"))
-        more = found.unionByName(highlight_mentions(sents, marks, gazetteer))
-    scored = scored_mentions(more, sentence_scores(resolved))
+        scored = found.unionByName(scored_mentions(highlight_mentions(sents, marks, gazetteer), sentence_scores(resolved)), allowMissingColumns=True)
     keywords = keyword_entities(good, gazetteer) if "keywords" in pages.columns else None
     nested = lambda df, *names: df.groupBy("page_key").agg(F.sort_array(F.collect_list(F.struct(*names, F.struct("score", "count", "type").alias("sentiment")))).alias("_x"))
     ents = nested(page_entities(scored, keywords), "name", "category").withColumnRenamed("_x", "entities")

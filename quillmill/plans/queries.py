@@ -19,6 +19,7 @@ from quillmill.operators import reports as W
 from quillmill.operators import rollup as U
 from quillmill.sources import gazetteer as G
 from quillmill.sources import web
+from quillmill.storage import materialize
 
 from . import tables as D
 
@@ -43,6 +44,7 @@ def query(sql: str | None = None):
 
 _LEX = "lex(term, score) AS (VALUES " + ", ".join(f"('{t}', {s})" for t, s in LEXICON.items()) + ")"
 _SCORE = "CASE WHEN {n} > 0 THEN round(2.0 / (1.0 + exp(-2.0 * ({t}::DOUBLE / {n}))) - 1.0, 9) ELSE 0.0 END"
+_RAW = "CASE WHEN {n} > 0 THEN 2.0 / (1.0 + exp(-2.0 * ({t}::DOUBLE / {n}))) - 1.0 ELSE 0.0 END"
 _KIND = "CASE WHEN {s} > 0 THEN 'positive' WHEN {s} < 0 THEN 'negative' ELSE 'neutral' END"
 _CAND = r"(\p{Lu}[\p{L}0-9]*(?: \p{Lu}[\p{L}0-9]*)*)"
 _HOST = "nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
@@ -86,11 +88,11 @@ named AS (SELECT parts.*, piece_idx % 2 = 1 AND length(piece) >= 2 AS is_candida
 sent_words AS (SELECT page_key, sentence_idx, unnest(regexp_split_to_array(lower(piece), '\W+')) AS w FROM named WHERE NOT is_entity),
 sent_hits AS (SELECT page_key, sentence_idx, sum(score) AS t, count(*) AS n FROM sent_words JOIN lex ON w = term WHERE score <> 0 GROUP BY ALL),
 ments AS (SELECT m.page_key, m.site, m.sentence_idx, m.is_title, m.piece AS surface, m.name, m.category, m.is_entity, """
-    + _SCORE.format(t="t", n="coalesce(n, 0)")
+    + _RAW.format(t="t", n="coalesce(n, 0)")
     + r""" AS score
           FROM named m LEFT JOIN sent_hits h ON h.page_key = m.page_key AND h.sentence_idx = m.sentence_idx WHERE is_candidate),
 pent AS (SELECT page_key, site, name, category, count(*)::BIGINT AS "count", round(avg(score), 9) AS score FROM ments WHERE is_entity GROUP BY ALL),
-pcand AS (SELECT page_key, site, surface AS name, 1::BIGINT AS "count", max_by(score, sentence_idx) AS score FROM ments WHERE NOT is_entity GROUP BY ALL),
+pcand AS (SELECT page_key, site, surface AS name, 1::BIGINT AS "count", round(max_by(score, sentence_idx), 9) AS score FROM ments WHERE NOT is_entity GROUP BY ALL),
 fold AS (SELECT site, name, list_reduce(list(struct_pack(c := "count"::DOUBLE, s := score) ORDER BY page_key),
          lambda a, e: struct_pack(c := a.c + e.c, s := CASE WHEN e.s <> 0 THEN (a.s * a.c + e.s * e.c) / (a.c + e.c) ELSE a.s END)) AS f FROM pent GROUP BY ALL),
 sent_ent AS (SELECT site, name, lower(name) AS _name, f.c::BIGINT AS "count", round(f.s, 6) AS sentiment FROM fold),
@@ -152,13 +154,12 @@ def _resolved(spark, sf_dir):
 
 
 def _scored_mentions(spark, sf_dir):
-    resolved = _resolved(spark, sf_dir)
-    return E.scored_mentions(E.mentions(resolved), E.sentence_scores(resolved))
+    return E.mentions(E.with_sentence_score(_resolved(spark, sf_dir)))
 
 
 @query(_with(_MENT, f"""SELECT s.page_key, s.sentence_idx, {_SCORE.format(t='t', n='coalesce(n, 0)')} AS score FROM sents s LEFT JOIN sent_hits h ON h.page_key = s.page_key AND h.sentence_idx = s.sentence_idx"""))
 def sentence_sentiment(spark, sf_dir):
-    return E.sentence_scores(_resolved(spark, sf_dir))
+    return E.sentence_scores(_resolved(spark, sf_dir)).withColumn("score", F.round("score", S.DIGITS))
 
 
 @query(_with(_SENT, f"SELECT page_key, sentence_idx, c AS candidate FROM (SELECT page_key, sentence_idx, unnest(regexp_extract_all(sentence, '{_CAND}', 1)) AS c FROM sents) WHERE length(c) >= 2"))
@@ -248,20 +249,22 @@ def site_min_count(spark, sf_dir):
 
 @query(_with(_MENT, "SELECT * FROM topsent"))
 def site_top_sentiment(spark, sf_dir):
-    return U.top_by_sentiment(_site_entities(spark, sf_dir))
+    return U.top_by_sentiment(materialize(_site_entities(spark, sf_dir), "site-entities"))
 
 
 @query(_with(_MENT, """SELECT 'entities' AS kind, site, rank, name, "count", sentiment FROM top40
 UNION ALL SELECT 'candidates', site, rank, name, "count", sentiment FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY "count" DESC, name) AS rank FROM sent_cand WHERE site IN (SELECT site FROM sent_ent)) WHERE rank <= 40
 UNION ALL SELECT kind, site, rank, name, "count", sentiment FROM topsent"""))
 def site_stats(spark, sf_dir):
-    return U.site_stats(_site_entities(spark, sf_dir), _site_candidates(spark, sf_dir))
+    scored = materialize(_scored_mentions(spark, sf_dir), "mentions")
+    ents = U.fold_entities(E.page_entities(scored).withColumnRenamed("page_key", "ord"))
+    return U.site_stats(materialize(U.rounded(ents), "site-entities"), U.rounded(U.fold_candidates(E.page_candidates(scored))))
 
 
 @query(_with(_MENT, "SELECT * FROM sent_ent"))
 def rollup_merge(spark, sf_dir):
     """The same rollup, in two batches: the earlier half of the pages is stored, the later half merged into it."""
-    rows = E.page_entities(_scored_mentions(spark, sf_dir)).withColumnRenamed("page_key", "ord")
+    rows = materialize(E.page_entities(_scored_mentions(spark, sf_dir)).withColumnRenamed("page_key", "ord"), "page-entities")
     half = D.read(spark, sf_dir, "documents").agg(F.expr("max(doc_id) div 2").alias("half"))
     early = rows.join(half, F.col("ord") <= F.col("half"), "left_semi")
     late = rows.join(half, F.col("ord") > F.col("half"), "left_semi")
@@ -276,12 +279,21 @@ known AS (SELECT name AS word, """ + _KIND.format(s="score") + """ AS sentiment,
 report AS (SELECT word AS entity, sentiment, sum("count")::BIGINT AS "count" FROM known JOIN words USING (word) GROUP BY ALL)"""
 
 
-def _report(spark, sf_dir):
-    scored = _scored_mentions(spark, sf_dir)
-    ents, cands = E.page_entities(scored), E.page_candidates(scored)
+def _extracted(spark, sf_dir):
+    """Page entities and candidates, stored, as reports read them."""
+    scored = materialize(_scored_mentions(spark, sf_dir), "mentions")
+    return materialize(E.page_entities(scored), "page-entities"), materialize(E.page_candidates(scored), "page-candidates")
+
+
+def _words(ents, cands):
     include = ents.select(F.col("name").alias("word")).unionByName(cands.select(F.col("name").alias("word"))).filter("word < 'In'")
     exclude = U.fold_entities(ents.withColumnRenamed("page_key", "ord")).filter("count > 100").select(F.col("name").alias("word"))
-    return W.word_report(ents, cands, W.chosen_words(include, exclude))
+    return W.chosen_words(include, exclude)
+
+
+def _report(spark, sf_dir):
+    ents, cands = _extracted(spark, sf_dir)
+    return W.word_report(ents, cands, _words(ents, cands))
 
 
 @query(_with(_MENT + "," + _REPORT_WORDS, "SELECT * FROM report"))
@@ -296,11 +308,7 @@ def report_text(spark, sf_dir):
 
 @query(_with(_MENT + "," + _REPORT_WORDS, "SELECT word FROM words"))
 def word_filter(spark, sf_dir):
-    scored = _scored_mentions(spark, sf_dir)
-    ents, cands = E.page_entities(scored), E.page_candidates(scored)
-    include = ents.select(F.col("name").alias("word")).unionByName(cands.select(F.col("name").alias("word"))).filter("word < 'In'")
-    exclude = U.fold_entities(ents.withColumnRenamed("page_key", "ord")).filter("count > 100").select(F.col("name").alias("word"))
-    return W.chosen_words(include, exclude)
+    return _words(*_extracted(spark, sf_dir))
 
 
 @query(_with(_MENT + "," + _REPORT_WORDS, """SELECT entity, string_agg(sentiment || ':' || "count", ',' ORDER BY sentiment) AS sentiments FROM report GROUP BY entity"""))
