@@ -1,13 +1,10 @@
-"""Helpers that the training-data operators share: tables, shared storage, skew-safe joins."""
+"""What the training-data operators share: tables, words, and storage that all executors see."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from quillmill.storage import materialize, new_path, shared_dir  # noqa: F401
 
 #: Words are maximal runs of anything but these bytes: space, tab, LF, VT, FF, CR.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -16,52 +13,3 @@ WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, whole."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("quillmill.own.checkpoint.dir", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="quillmill-")
-            spark.conf.set("quillmill.own.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended: its folder is then the cluster's to clear
-        pass
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/quillmill-{what}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
-
-    Lineage ends there, so a lost executor costs a reread and not a recomputation, and
-    Catalyst knows the written size when it chooses between broadcast and shuffle.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def row_key(df: DataFrame) -> DataFrame:
-    """Adds _th, which with doc_id names a row: rows alike in both are repeats of one document."""
-    return df.withColumn("_th", F.xxhash64("text"))
-
-
-def same_doc(a: DataFrame, b: DataFrame):
-    """Null-safe equality of doc_id and _th, still an equi-join for Catalyst."""
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_th"] == b["_th"])
