@@ -128,8 +128,12 @@ def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> PPM:
     language, from at most per_language documents each.
     """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).select("lang", "doc_id").distinct()
+    # of a language's rows only the share with the least hashes that holds twice the wanted number is ranked
+    ids = usable.select("lang", "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    sizes = materialize(ids.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    low = ids.join(sizes, "lang").filter(F.col("_h") / float(1 << 64) + 0.5 <= F.lit(2.0 * per_language) / F.col("_n"))
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    chosen = low.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).select("lang", "doc_id").distinct()
     sample = docs.select("lang", "doc_id", "text").join(materialize(chosen, "learned"), ["lang", "doc_id"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
