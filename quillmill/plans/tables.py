@@ -21,8 +21,15 @@ PATTERNS = [
 ]
 
 
+#: Tables whose rows cost enough to be worth dealing out.
+HEAVY = frozenset({"documents", "pages"})
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One of few, small files would keep a single core busy with its texts, so it is dealt out; one of many splits is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
