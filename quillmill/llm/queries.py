@@ -19,7 +19,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.line_dedup(table(spark, sf_dir, "documents"))
+    return line_chunks.line_dedup(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
