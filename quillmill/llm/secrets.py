@@ -85,9 +85,9 @@ def scan_unseen(versions: DataFrame, rules: list[Rule], ledger: DataFrame | None
     """Findings of the (blob, rule) pairs that the ledger lacks: blob, kind, version, rank (of the rule), start, stop.
 
     One row of each blob is scanned: the least path, found from digests alone, so that texts
-    move once and copies, however many, cost one scan.
+    move once and copies, however many, cost one scan. A null path ranks as an empty one.
     """
-    named = blobs_of(versions.select("path", "text"))
+    named = blobs_of(versions.select(F.coalesce("path", F.lit("")).alias("path"), "text"))
     first = named.groupBy("blob").agg(F.min("path").alias("path"))
     wanted = {(r.kind, r.version) for r in rules}
     if ledger is not None:
