@@ -26,8 +26,6 @@ from .common import materialize
 
 #: Learning takes at most so many documents of each language, those with the least hash of doc_id, whole.
 DOCS_PER_LANGUAGE = 400
-#: Different bytes that a context can hold; rarer ones are coded as bytes never seen. Bounds a language's table by 8 MB.
-SYMBOLS = 127
 UNDETERMINED = "und"
 PIECE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -45,65 +43,73 @@ def triples(b: np.ndarray) -> np.ndarray:
     return (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
 
 
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of each symbol after each pair of symbols, from the counts of triples; the last symbol is any byte never seen."""
-    a = counts.shape[0]
-    n2 = counts.astype(np.float64)
-    n1 = n2.sum(axis=0)
-    n0 = n1.sum(axis=0)
-    bits = np.zeros((a, a, a))
-    coded = np.zeros((a, a, a), bool)
-    for n in (n2, np.broadcast_to(n1[None], (a, a, a)), np.broadcast_to(n0[None, None], (a, a, a))):
+def code_lengths(n2: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> np.ndarray:
+    """Bits of each byte in each context, a row; n2, n1 and n0 are the counts of bytes after the two, the one and the none before it."""
+    bits = np.zeros(n2.shape)
+    coded = np.zeros(n2.shape, bool)
+    for n in (n2, n1, np.broadcast_to(n0, n2.shape)):
         left = np.where(coded, 0.0, n)
-        total, kinds = left.sum(axis=2, keepdims=True), (left > 0).sum(axis=2, keepdims=True)
+        total, kinds = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
         whole = np.where(total > 0, total + kinds, 1.0)
         with np.errstate(divide="ignore"):
             here = np.where(left > 0, -np.log2(left / whole), 0.0)
             escape = np.where(total > 0, -np.log2(kinds / whole), 0.0)
         bits += np.where(coded, 0.0, np.where(left > 0, here, escape))
         coded |= left > 0
-    rest = 256 - coded.sum(axis=2, keepdims=True)
+    rest = 256 - coded.sum(axis=1, keepdims=True)
     return np.where(coded, bits, bits + np.log2(np.maximum(rest, 1)))
 
 
 @dataclass
 class PPM:
-    """languages in order; symbol: each byte's number; table: bits by triple of symbols, and language."""
+    """languages in order; for each, row: the row of each pair of bytes, and bits: of each byte in that row.
+
+    Pairs that a language has seen have rows of their own; others share one for each last byte.
+    """
 
     languages: list[str]
-    symbol: np.ndarray
-    table: np.ndarray
+    row: list[np.ndarray]
+    bits: list[np.ndarray]
 
     @classmethod
     def learn(cls, counts: dict[str, Counter]) -> PPM:
         """counts: for each language, how often each triple of bytes occurs."""
         languages = sorted(counts)
-        seen: Counter = Counter()
-        for c in counts.values():
-            for code, n in c.items():
-                seen[code & 255] += n
-        known = [b for b, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]]
-        symbol = np.full(256, len(known), np.int64)
-        symbol[known] = np.arange(len(known))
-        a = len(known) + 1
-        tables = []
+        rows, bits = [], []
         for lang in languages:
             codes = np.fromiter(counts[lang].keys(), np.int64)
             times = np.fromiter(counts[lang].values(), np.int64)
-            cube = np.zeros((a, a, a))
-            last = symbol[codes & 255]
-            was = last < a - 1  # a byte outside the alphabet is context only
-            np.add.at(cube, (symbol[codes >> 16][was], symbol[codes >> 8 & 255][was], last[was]), times[was])
-            tables.append(code_lengths(cube).astype(np.float32).ravel())
-        return cls(languages, symbol, np.ascontiguousarray(np.stack(tables, axis=1)) if tables else np.zeros((a**3, 0), np.float32))
+            pairs, at = np.unique(codes >> 8, return_inverse=True)
+            n2 = np.zeros((256 + len(pairs), 256))
+            np.add.at(n2, (256 + at, codes & 255), times)
+            n1 = np.zeros((256, 256))
+            np.add.at(n1, (codes >> 8 & 255, codes & 255), times)
+            row = np.tile(np.arange(256, dtype=np.int64), 256)
+            row[pairs] = 256 + np.arange(len(pairs))
+            rows.append(row)
+            last = np.concatenate([np.arange(256), pairs & 255])
+            bits.append(code_lengths(n2, n1[last], n1.sum(axis=0)).astype(np.float32))
+        return cls(languages, rows, bits)
+
+    @property
+    def symbol(self) -> np.ndarray:
+        """Each byte's number in table: itself."""
+        return np.arange(256)
+
+    @property
+    def table(self) -> np.ndarray:
+        """Bits by triple of bytes, and language, in full: 64 MB a language, for inspection."""
+        return np.stack([b[r].ravel() for r, b in zip(self.row, self.bits, strict=True)], axis=1)
 
     def lengths(self, text: str) -> np.ndarray:
         """Bits of the text under each language."""
-        b, a = text_bytes(text), int(self.symbol.max()) + 1
+        b = text_bytes(text)
         out = np.zeros(len(self.languages))
         for at in range(0, len(b) - 2, PIECE):
-            s = self.symbol[b[at : at + PIECE + 2]]
-            out += self.table[(s[:-2] * a + s[1:-1]) * a + s[2:]].sum(axis=0, dtype=np.float64)
+            x = b[at : at + PIECE + 2].astype(np.int64)
+            pair, last = (x[:-2] << 8) | x[1:-1], x[2:]
+            for k, (row, bits) in enumerate(zip(self.row, self.bits, strict=True)):
+                out[k] += bits[row[pair], last].sum(dtype=np.float64)
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
