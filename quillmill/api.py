@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import urls
 from quillmill.functions.sentiment import DEFAULT_LEXICON
-from quillmill.operators import entities, html, mutations, patterns, reports, rollup
+from quillmill.operators import checks, entities, frontier, html, mutations, patterns, reports, rollup
+from quillmill.sources import web
 
 # Status codes of websites and crawlers.
 DISABLED, ENABLED, RUNNING = 0, 1, 2
+#: Kinds of crawlers, by name: what gives the URLs of a batch of pages.
+CRAWLER_KINDS = {
+    "links_crawler": lambda pages: pages.select("url", F.explode("links").alias("link")),
+    "sitemap_crawler": lambda pages: web.sitemap_urls(pages.select(F.col("url").alias("site"), F.col("html").alias("xml"))).select(F.col("site").alias("url"), F.col("url").alias("link")),
+    "rss_crawler": lambda pages: web.feed_entries(pages.select(F.col("url").alias("feed"), F.col("html").alias("xml"))).select(F.col("feed").alias("url"), "link"),
+}
 MAX_AGE_S, FREQUENCY_S, MAX_NAME = 31_536_000, 3600, 100
 WEBSITE_DDL = "site string, name string, website_url string, publisher_id string, category string, crawler_type string, status int, pages long, date_created timestamp, date_lastupdated timestamp"
 CRAWLER_DDL = "crawler_id int, name string, site string, status int, crawling_status int, scraper string, category string, start_url string, age long, frequency long, crawler_type string, crawled_pages long, default_url_pattern int"
@@ -38,7 +45,7 @@ class Engine:
         for value in (name, website_url, publisher_id, category):
             if not value or len(value) >= MAX_NAME:
                 raise ValueError(f"a website's name, URL, publisher and category have 1 to {MAX_NAME - 1} characters: {value!r}")
-        stamp = now or datetime.utcnow()
+        stamp = now or datetime.now(UTC).replace(tzinfo=None)
         row = self.spark.createDataFrame([(None, name, website_url, publisher_id, category, crawler_type, ENABLED, 0, stamp, stamp)], WEBSITE_DDL)
         self.tables["websites"] = self.tables["websites"].unionByName(row.withColumn("site", urls.host(F.col("website_url"))))
 
@@ -66,6 +73,19 @@ class Engine:
         rows = self.tables["crawlers"]
         return rows if status is None else rows.filter(F.col("status") == status)
 
+    def crawler(self, crawler_id: int) -> DataFrame:
+        return self.tables["crawlers"].filter(F.col("crawler_id") == crawler_id)
+
+    def update_crawlers(self, changes: DataFrame, now: datetime | None = None) -> None:
+        """Sets the values that changes (crawler_id and more) gives; where the age changes, stored pages of the category get their new time."""
+        old = self.tables["crawlers"]
+        new = mutations.merge_documents(old, changes, ["crawler_id"])
+        if "age" in changes.columns and "scraped_pages" in self.tables and {"category", "crawled_at"} <= set(self.tables["scraped_pages"].columns):
+            ages = new.select("crawler_id", "category", "age").join(old.select("crawler_id", F.col("age").alias("old_age")), "crawler_id")
+            stamp = F.lit(now or datetime.now(UTC).replace(tzinfo=None)).cast("timestamp")
+            self.tables["scraped_pages"] = frontier.age_pages(self.tables["scraped_pages"], ages, stamp)
+        self.tables["crawlers"] = new
+
     def delete_crawler(self, crawler_id: int) -> None:
         """The crawler goes, and its patterns with it."""
         gone = self.spark.createDataFrame([(crawler_id,)], "crawler_id int")
@@ -87,6 +107,15 @@ class Engine:
     def delete_pattern(self, pattern_id: int) -> None:
         self.tables["patterns"] = mutations.delete(self.tables["patterns"], self.spark.createDataFrame([(pattern_id,)], "pattern_id int"))
 
+    def pattern(self, pattern_id: int) -> DataFrame:
+        return self.tables["patterns"].filter(F.col("pattern_id") == pattern_id)
+
+    def update_patterns(self, changes: DataFrame) -> None:
+        self.tables["patterns"] = mutations.merge_documents(self.tables["patterns"], changes, ["pattern_id"])
+
+    def site_tree(self) -> DataFrame:
+        return patterns.site_tree(self.tables["websites"], self.tables["crawlers"], self.tables["patterns"])
+
     def pattern_of(self, pages: DataFrame) -> DataFrame:
         return patterns.match_any_crawler(pages, self.tables["patterns"])
 
@@ -99,7 +128,9 @@ class Engine:
         return html.scrape(new, scraper, now).withColumn("page_key", F.col("url")).withColumn("site", urls.host(F.col("url")))
 
     def extract(self, scraped: DataFrame, must_match: bool = False) -> tuple[DataFrame, DataFrame]:
-        """Extracted pages with their pattern's categories and words to exclude, and rejected ones with a reason."""
+        """Extracted pages with their pattern's categories and words to exclude, and rejected ones with a reason. Pages stored in the present form aren't extracted again."""
+        if "extracted_pages" in self.tables:
+            scraped = scraped.join(checks.current(self.tables["extracted_pages"])[0].select("url"), "url", "left_anti")
         done, rejects = entities.extract(scraped, self.tables["gazetteer"], self.lexicon)
         tagged = patterns.match_any_crawler(done, self.tables["patterns"], must_match).join(
             self.tables["patterns"].select("pattern_id", F.array_join("harvester_categories", ",").alias("category"), F.array_join("exclude_words", ",").alias("exclude")), "pattern_id", "left"
@@ -109,6 +140,17 @@ class Engine:
     def extracted_page(self, url: str) -> DataFrame:
         return self.tables["extracted_pages"].filter(F.col("url") == url)
 
+    def save_extracted(self, done: DataFrame, now: datetime | None = None) -> None:
+        """Stores extracted pages by URL, with their version and time; a later one replaces an earlier."""
+        stamped = done.withColumn("version", F.lit(checks.VERSION)).withColumn("extracted_at", F.lit(now or datetime.now(UTC).replace(tzinfo=None)).cast("timestamp"))
+        old = self.tables.get("extracted_pages")
+        self.tables["extracted_pages"] = stamped if old is None else mutations.upsert(old, stamped, ["url"], "extracted_at")
+
+    def extracted_page_with_pattern(self, url: str) -> DataFrame:
+        """The extracted page and its pattern's id; no row if no pattern matches."""
+        page = self.extracted_page(url).drop("pattern_id")
+        return page.join(patterns.match_any_crawler(page, self.tables["patterns"], must_match=True), "url")
+
     def site_stats(self, site: str) -> DataFrame:
         own = F.col("site") == site
         return rollup.site_stats(self.tables["site_entities"].filter(own), self.tables["site_candidates"].filter(own))
@@ -118,6 +160,15 @@ class Engine:
     def categories(self) -> DataFrame:
         return self.tables["entity_source"].orderBy("source", "source_category")
 
+    def category(self, source: str, source_category: str) -> DataFrame:
+        return self.tables["entity_source"].filter((F.col("source") == source) & (F.col("source_category") == source_category))
+
+    def add_categories(self, rows: DataFrame) -> None:
+        self.tables["entity_source"] = mutations.insert_ignore(self.tables["entity_source"], rows, ["source", "source_category"])
+
+    def update_categories(self, changes: DataFrame) -> None:
+        self.tables["entity_source"] = mutations.merge_documents(self.tables["entity_source"], changes, ["source", "source_category"])
+
     def entities(self, where=None, limit: int = 25) -> DataFrame:
         """Entities that aren't disabled, for which `where` holds."""
         rows = self.tables["gazetteer"].filter(~F.coalesce("disabled", F.lit(False)))

@@ -14,12 +14,17 @@ from pyspark.sql.types import StringType, TimestampType
 ABBREVIATIONS = ("dr", "vs", "mr", "mrs", "prof", "inc")
 #: A capitalised word and those that follow it after single spaces: what stands in for a named-entity model.
 CANDIDATE = r"(\p{Lu}[\p{L}0-9]*(?: \p{Lu}[\p{L}0-9]*)*)"
-HELD, CUT, MARK = "\u0001", "\u0002", "\u0003"
+#: Marks that stand between steps: noncharacters, which no text holds; one that does has them replaced.
+HELD, CUT, MARK = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def unmarked(text: Column) -> Column:
+    return F.translate(text, HELD + CUT + MARK, "\ufffd" * 3)
 
 
 def sentences(text: Column) -> Column:
     """Array of sentences: cut after . ? ! and white space, but not after abbreviations and initials."""
-    kept = F.regexp_replace(text, rf"(?i)(^|[^A-Za-z0-9_])({'|'.join(ABBREVIATIONS)})\.\s", f"$1$2{HELD}")
+    kept = F.regexp_replace(unmarked(text), rf"(?i)(^|[^A-Za-z0-9_])({'|'.join(ABBREVIATIONS)})\.\s", f"$1$2{HELD}")
     kept = F.regexp_replace(kept, r"(^|[^A-Za-z0-9_])([A-Z])\.\s", f"$1$2{HELD}")
     cut = F.split(F.regexp_replace(kept, r"([.?!])\s+", f"$1{CUT}"), CUT)
     return F.transform(cut, lambda s: F.replace(s, F.lit(HELD), F.lit(". ")))
@@ -27,7 +32,7 @@ def sentences(text: Column) -> Column:
 
 def pieces(sentence: Column) -> Column:
     """The sentence cut around its candidates: those stand at odd places."""
-    return F.split(F.regexp_replace(sentence, CANDIDATE, f"{MARK}$1{MARK}"), MARK)
+    return F.split(F.regexp_replace(unmarked(sentence), CANDIDATE, f"{MARK}$1{MARK}"), MARK)
 
 
 def candidates(sentence: Column, least: int = 2) -> Column:

@@ -22,21 +22,38 @@ def sentence_table(pages: DataFrame) -> DataFrame:
     """page_key, site, sentence_idx, sentence, is_title of pages (page_key, site, title, text array).
 
     Pieces of text are joined by " . "; sentences of under three characters go; the title comes
-    last, as one sentence, whatever its length.
+    last, as one sentence, whatever its length. A page without text has its title alone.
     """
-    body = pages.select("page_key", "site", "title", T.sentences(F.array_join("text", " . ")).alias("_s"))
-    rows = body.select("page_key", "site", F.posexplode("_s").alias("sentence_idx", "sentence")).filter(F.length("sentence") >= MIN_SENTENCE)
-    title = body.filter("title IS NOT NULL").select("page_key", "site", F.size("_s").alias("sentence_idx"), F.col("title").alias("sentence"))
-    return rows.withColumn("is_title", F.lit(False)).unionByName(title.withColumn("is_title", F.lit(True)))
+    row = lambda i, s, title: F.struct(i.cast("int").alias("sentence_idx"), s.alias("sentence"), F.lit(title).alias("is_title"))
+
+    def rows(s: Column) -> Column:
+        body = F.filter(F.transform(s, lambda x, i: row(i, x, False)), lambda r: F.length(r["sentence"]) >= MIN_SENTENCE)
+        title = F.when(F.col("title").isNotNull(), F.array(row(F.size(s), F.col("title"), True)))
+        return F.concat(body, F.coalesce(title, F.filter(body, lambda r: F.lit(False))))
+
+    # as the one element of an array the sentences are worked out once, however often rows() names them
+    cut = pages.select("page_key", "site", F.transform(F.array(T.sentences(F.array_join("text", " . "))), rows)[0].alias("_r"))
+    # an outer generator has no inferred filter, which would split every text again
+    return cut.select("page_key", "site", F.inline_outer("_r")).filter("sentence_idx IS NOT NULL")
 
 
 def piece_table(sentences: DataFrame, lexicon: dict[str, int]) -> DataFrame:
-    """The sentences' pieces around and of candidates, with the sum and number of their lexicon hits."""
-    cut = sentences.select("page_key", "site", "sentence_idx", "is_title", F.posexplode(T.pieces(F.col("sentence"))).alias("piece_idx", "piece"))
-    found = cut.withColumn("_hits", S.hits(F.col("piece"), lexicon))
+    """A row for each candidate of a sentence, and one for the rest of it, with the sum and number of lexicon hits.
+
+    The rest has no piece: nothing but its hits is asked of it later, so its text isn't carried on.
+    """
+    row = lambda i, x, t: F.struct(i.cast("int").alias("piece_idx"), x.alias("piece"), t.alias("_text"))
+    is_candidate = lambda x, i: (i % 2 == 1) & (F.length(x) >= 2)
+
+    def rows(p: Column) -> Column:
+        rest = F.array_join(F.filter(p, lambda x, i: ~is_candidate(x, i)), "\n")  # a break ends words, as the candidate did
+        named = F.filter(F.transform(p, lambda x, i: F.when(is_candidate(x, i), row(i, x, x))), lambda r: r.isNotNull())
+        return F.concat(F.array(row(F.lit(-1), F.lit(None).cast("string"), rest)), named)
+
+    cut = sentences.select("page_key", "site", "sentence_idx", "is_title", F.transform(F.array(T.pieces(F.col("sentence"))), rows)[0].alias("_r"))
+    found = cut.select("page_key", "site", "sentence_idx", "is_title", F.inline_outer("_r")).withColumn("_hits", S.hits(F.col("_text"), lexicon))
     total, count = S.hit_totals(F.col("_hits"), lexicon)
-    candidate = (F.col("piece_idx") % 2 == 1) & (F.length("piece") >= 2)
-    return found.select("page_key", "site", "sentence_idx", "is_title", "piece_idx", "piece", candidate.alias("is_candidate"), total.alias("hit_sum"), count.alias("hit_count"))
+    return found.select("page_key", "site", "sentence_idx", "is_title", "piece_idx", "piece", F.col("piece").isNotNull().alias("is_candidate"), total.alias("hit_sum"), count.alias("hit_count"))
 
 
 def one_per_name(gazetteer: DataFrame) -> DataFrame:
@@ -49,10 +66,12 @@ def resolve(pieces: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Adds name, category and is_entity. Names the gazetteer lacks, or has disabled, stay candidates.
 
     Catalyst broadcasts the gazetteer if it is small; otherwise both sides are dealt by name and
-    AQE splits names that are too common.
+    AQE splits names that are too common. Rows that are no candidates get a key that no name
+    has, by their sentence, so that they are spread instead of meeting at null.
     """
     known = one_per_name(gazetteer)
-    keyed = pieces.withColumn("_name", F.when(F.col("is_candidate"), F.lower("piece")))
+    spread = F.concat(F.lit(T.MARK), F.xxhash64("page_key", "sentence_idx").cast("string"))
+    keyed = pieces.withColumn("_name", F.when(F.col("is_candidate"), F.lower("piece")).otherwise(spread))
     joined = keyed.join(known, "_name", "left")
     entity = F.col("name").isNotNull() & ~F.col("disabled")
     return joined.select(*pieces.columns, F.when(entity, F.col("name")).alias("name"), F.when(entity, F.col("category")).alias("category"), F.coalesce(entity, F.lit(False)).alias("is_entity"))
@@ -67,6 +86,7 @@ def sentence_scores(resolved: DataFrame) -> DataFrame:
 
 def with_sentence_score(resolved: DataFrame) -> DataFrame:
     """The pieces with their sentence's sentiment, as score: what sentence_scores() gives, found in one pass by a window over each sentence instead of a join with itself."""
+    resolved = resolved.repartition("page_key")  # serves this window and every later grouping by page
     here = Window.partitionBy("page_key", "sentence_idx")
     own = lambda c: F.coalesce(F.sum(F.when(~F.col("is_entity"), F.col(c))).over(here), F.lit(0))
     summed = resolved.withColumn("_t", own("hit_sum")).withColumn("_n", own("hit_count"))

@@ -8,7 +8,7 @@ here as column expressions, which need no Python.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
@@ -275,7 +275,7 @@ def scrape(pages: DataFrame, name: str | None = None, now: datetime | None = Non
     The clock is read once, for all rows, so that a task run again gives the same rows.
     """
     kind, function = scraper(name)
-    clock = now or datetime.utcnow()
+    clock = now or datetime.now(UTC).replace(tzinfo=None)
     listed = pa.list_(pa.string())
     types = [pa.string(), pa.string(), pa.string(), listed, listed, listed, pa.map_(pa.string(), listed), listed, pa.timestamp("us", tz="UTC"), pa.string(), pa.string()]
     names = [f.split()[0] for f in PAGE_DDL.split(", ")]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import urls
+from quillmill.storage import materialize
 
 
 def chosen_words(include: DataFrame, exclude: DataFrame) -> DataFrame:
@@ -42,9 +43,15 @@ def report_header(site: str, n_include: int, n_exclude: int, scanned: int, match
     return ["Site report for:", site, "", "Total include words:", str(n_include), "", "Total exclude words:", str(n_exclude), "", "Total URLs scanned:", str(scanned), "", "Total URLs matched:", str(matched), "", "Word, Sentiment, count"]
 
 
+def scan_counts(pages: DataFrame, site: str) -> tuple[int, int]:
+    """Pages in all, and those of the site with or without www.: the totals of a report's header."""
+    own = urls.bare_host(F.col("site")) == F.lit(site.removeprefix("www."))
+    return tuple(pages.agg(F.count("*"), F.count_if(own)).first())
+
+
 def write_report(report: DataFrame, header: list[str], path: str) -> None:
-    """One text file, header first, in order. A report has a row for each asked word and sentiment, so it is small by its use."""
-    spark = report.sparkSession
+    """One text file, header first, in order. The report is worked out by all tasks and stored; its lines alone meet in one."""
+    spark, report = report.sparkSession, materialize(report, "report")
     head = spark.createDataFrame([(i, "", "", x) for i, x in enumerate(header)], "part int, entity string, sentiment string, line string")
     body = report.select(F.lit(len(header)).alias("part"), "entity", "sentiment", F.concat_ws("|", "entity", "sentiment", F.col("count").cast("string")).alias("line"))
     head.unionByName(body).coalesce(1).sortWithinPartitions("part", F.desc("entity"), "sentiment").select("line").write.mode("overwrite").text(path)

@@ -165,7 +165,7 @@ def sentence_sentiment(spark, sf_dir):
 @query(_with(_SENT, f"SELECT page_key, sentence_idx, c AS candidate FROM (SELECT page_key, sentence_idx, unnest(regexp_extract_all(sentence, '{_CAND}', 1)) AS c FROM sents) WHERE length(c) >= 2"))
 def ne_candidates(spark, sf_dir):
     rows = E.sentence_table(D.document_pages(spark, sf_dir))
-    return rows.select("page_key", "sentence_idx", F.explode(T.candidates(F.col("sentence"))).alias("candidate"))
+    return rows.select("page_key", "sentence_idx", F.explode_outer(T.candidates(F.col("sentence"))).alias("candidate")).filter("candidate IS NOT NULL")
 
 
 @query(_with(_GAZ, "SELECT name, _name, category, 'documents' AS source, 0::BIGINT AS occur, disabled FROM gaz"))

@@ -41,7 +41,8 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that NAME_DOCS documents or more hold, by first letter; those of a length divisible by five are disabled."""
     docs = read(spark, sf_dir, "documents")
-    names = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(T.CANDIDATE), F.lit(1)), F.lower))).alias("_name"))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(T.CANDIDATE), F.lit(1)), F.lower))
+    names = docs.select("doc_id", F.explode_outer(found).alias("_name"))  # outer: no inferred filter that extracts again
     common = names.filter(F.length("_name") >= 2).groupBy("_name").agg(F.count("*").alias("n")).filter(F.col("n") >= NAME_DOCS)
     return common.select(F.col("_name").alias("name"), "_name", F.concat(F.lit("letter_"), F.substring("_name", 1, 1)).alias("category"), F.lit("documents").alias("source"), F.lit(0).cast("long").alias("occur"), (F.length("_name") % 5 == 0).alias("disabled"))
 

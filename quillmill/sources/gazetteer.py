@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as T
+from quillmill.storage import materialize
 
 LABEL_BATCH = 49
 FRESH_S = 86_400
@@ -31,9 +32,56 @@ def english_only(names: DataFrame, lang: str | None = None) -> DataFrame:
     return names.filter((F.col(lang) if lang else T.language_vote(F.col("name"))) == "en")
 
 
-def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """JSON records under a given schema; broken ones are dropped."""
-    return spark.read.schema(ddl).option("mode", "DROPMALFORMED").json(path)
+def read_json(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """JSON records under a given schema, and rejects (record, reason): the lines that don't fit it."""
+    whole = spark.read.schema(f"{ddl}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    rejects = spark.read.text(path).select(F.col("value").alias("record"), F.from_json("value", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("_r"))
+    return whole.filter("_bad IS NULL").drop("_bad"), rejects.filter("_r._bad IS NOT NULL").select("record", F.lit("not a record of the schema").alias("reason"))
+
+
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """key of all that follow a start (key) along edges (key, next), starts included.
+
+    The way of a "Next" link or a cursor, over stored pages: each round doubles the length of
+    the jumps, so a chain of n pages takes log2(n) rounds, and a chain that runs in a circle ends.
+    """
+    jumps = materialize(edges.select("key", "next").filter("next IS NOT NULL AND key IS NOT NULL").distinct(), "jumps")
+    seen, last = materialize(start.select("key").distinct(), "reached"), -1
+    while (n := seen.count()) != last:
+        last = n
+        seen = materialize(seen.unionByName(seen.join(jumps, "key").select(F.col("next").alias("key"))).distinct(), "reached")
+        jumps = materialize(jumps.join(jumps.select(F.col("key").alias("next"), F.col("next").alias("_far")), "next").select("key", F.col("_far").alias("next")).distinct(), "jumps")
+    return seen
+
+
+def listing_pages(pages: DataFrame, start: DataFrame, label: str = "Next") -> DataFrame:
+    """The pages (url, html) of a listing, from the start URLs (url) on along the links with this text, until there is none."""
+    tag = F.regexp_extract("html", rf"""(?is)<a\s[^>]*?href=["']?([^"'\s>]+)["']?[^>]*>\s*{label}\b""", 1)
+    edges = pages.select(F.col("url").alias("key"), F.when(tag != "", tag).alias("next"))
+    return pages.join(reachable(edges, start.select(F.col("url").alias("key"))).withColumnRenamed("key", "url"), "url", "left_semi")
+
+
+def cursor_names(answers: DataFrame, first: str = "") -> DataFrame:
+    """name of the entities in an API's answers (cursor, next_cursor, result array<struct<name>>), from the first cursor on; nulls go."""
+    start = answers.sparkSession.createDataFrame([(first,)], "key string")
+    got = reachable(answers.select(F.col("cursor").alias("key"), F.col("next_cursor").alias("next")), start)
+    read = answers.join(got.withColumnRenamed("key", "cursor"), "cursor", "left_semi")
+    return read.select(F.inline("result")).filter("name IS NOT NULL").select("name")
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def names_by_letter(artists: DataFrame, works: DataFrame, english: bool = True, letters: str = LETTERS) -> DataFrame:
+    """letter and name, each once, of a catalogue's artists (letter, name) and works (letter, title, relations): what a search for each letter found.
+
+    All letters are one table and one pass, where a client asks for one after the other.
+    """
+    mine = F.lower("letter").isin(*letters)
+    titles = works.filter(mine).select(F.lower("letter").alias("letter"), F.col("title").alias("name"))
+    nested = works.filter(mine).select(F.lower("letter").alias("letter"), F.explode("relations").alias("r")).select("letter", F.col("r.name").alias("name"))
+    rows = artists.filter(mine).select(F.lower("letter").alias("letter"), "name").unionByName(titles).unionByName(nested).filter(F.length("name") > 0)
+    return (english_only(rows) if english else rows).distinct()
 
 
 def label_batches(ids: DataFrame, size: int = LABEL_BATCH) -> DataFrame:
@@ -113,7 +161,7 @@ def new_categories(domains: DataFrame, known: DataFrame) -> DataFrame:
     return domains.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
 
 
-IMPORTERS: dict[str, Callable[..., DataFrame]] = {"wikidata": wikidata_names, "artists": artist_names, "works": work_names, "table": table_names, "plain": lambda names: names.select("name").filter(F.length("name") > 0)}
+IMPORTERS: dict[str, Callable[..., DataFrame]] = {"wikidata": wikidata_names, "artists": artist_names, "works": work_names, "table": table_names, "cursor": cursor_names, "letters": lambda *x, **o: names_by_letter(*x, **o).select("name").distinct(), "plain": lambda names: names.select("name").filter(F.length("name") > 0)}
 
 
 def import_entities(kind: str, category: str, source: str, *inputs: DataFrame, now=None, **options) -> DataFrame:
