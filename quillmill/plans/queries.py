@@ -78,13 +78,14 @@ _MENT = (
     + ","
     + _GAZ
     + r""",
-parts AS (SELECT page_key, site, sentence_idx, is_title, i - 1 AS piece_idx, p[i] AS piece FROM
+known_gaz AS MATERIALIZED (SELECT * FROM gaz WHERE NOT disabled),
+parts AS MATERIALIZED (SELECT page_key, site, sentence_idx, is_title, i - 1 AS piece_idx, p[i] AS piece, CASE WHEN i % 2 = 0 AND length(p[i]) >= 2 THEN lower(p[i]) END AS _key FROM
           (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (SELECT *, string_split(regexp_replace(sentence, '"""
     + _CAND
     + r"""', chr(3) || '\1' || chr(3), 'g'), chr(3)) AS p FROM sents))),
 named AS (SELECT parts.*, piece_idx % 2 = 1 AND length(piece) >= 2 AS is_candidate, g.name, g.category,
           g.name IS NOT NULL AND piece_idx % 2 = 1 AND length(piece) >= 2 AS is_entity
-          FROM parts LEFT JOIN (SELECT * FROM gaz WHERE NOT disabled) g ON g._name = lower(piece) AND piece_idx % 2 = 1 AND length(piece) >= 2),
+          FROM parts LEFT JOIN known_gaz g ON g._name = _key),
 sent_words AS (SELECT page_key, sentence_idx, unnest(regexp_split_to_array(lower(piece), '\W+')) AS w FROM named WHERE NOT is_entity),
 sent_hits AS (SELECT page_key, sentence_idx, sum(score) AS t, count(*) AS n FROM sent_words JOIN lex ON w = term WHERE score <> 0 GROUP BY ALL),
 ments AS (SELECT m.page_key, m.site, m.sentence_idx, m.is_title, m.piece AS surface, m.name, m.category, m.is_entity, """
@@ -211,11 +212,6 @@ def occur_count(spark, sf_dir):
     return E.occurrences(E.mentions(_resolved(spark, sf_dir)))
 
 
-@query()
-def extracted_pages(spark, sf_dir):
-    return E.extract(D.document_pages(spark, sf_dir), D.gazetteer(spark, sf_dir), LEXICON)[0]
-
-
 # Site rollups
 
 
@@ -365,7 +361,9 @@ def domain_counters(spark, sf_dir):
     return W.domain_counters(pages.select("site").distinct(), pages)
 
 
-_PAT = "pat(pattern_id, website, crawler_id, pattern, is_default) AS (VALUES " + ", ".join(f"({i}, '{w}', {c}, '{p}', {str(d).lower()})" for i, w, c, p, d in D.PATTERNS) + ")"
+_PAT = r"""hosts AS (SELECT bare, min(page_id) AS m FROM (SELECT page_id, regexp_replace(""" + _HOST + r""", '^www\.', '') AS bare FROM pages) WHERE bare IS NOT NULL GROUP BY bare),
+pat AS (SELECT 3 * m + k AS pattern_id, CASE WHEN k = 2 THEN 'www.' ELSE '' END || bare AS website, (1 + (m + k) % 2)::INT AS crawler_id,
+               'https?://(www\.)?' || replace(bare, '.', '\.') || CASE k WHEN 1 THEN '/' WHEN 2 THEN '/(en|fr)/' ELSE '/.*page=' END AS pattern, k <> 2 AS is_default FROM hosts, (VALUES (1), (2), (3)) v(k) WHERE k < 3 OR m % 2 = 0)"""
 
 
 @query(f"""WITH {_PAT}, u AS (SELECT DISTINCT url, regexp_replace({_HOST}, '^www\\.', '') AS bare FROM pages),
@@ -373,14 +371,14 @@ m AS (SELECT url, pattern_id, is_default, CASE WHEN website LIKE 'www.%' THEN 0
 n AS (SELECT url, arg_min(pattern_id, w * 1000 + pattern_id) AS p FROM m WHERE NOT is_default GROUP BY url), d AS (SELECT url, arg_max(pattern_id, w * 1000 + pattern_id) AS p FROM m WHERE is_default GROUP BY url)
 SELECT u.url, coalesce(n.p, d.p) AS pattern_id FROM u LEFT JOIN n ON n.url = u.url LEFT JOIN d ON d.url = u.url""")
 def url_pattern_match(spark, sf_dir):
-    return P.match_any_crawler(D.read(spark, sf_dir, "pages"), D.url_patterns(spark))
+    return P.match_any_crawler(D.read(spark, sf_dir, "pages"), D.url_patterns(spark, sf_dir))
 
 
 @query(f"""WITH {_PAT}, l AS (SELECT url, 1 + page_id % 2 AS crawler_id FROM pages)
 SELECT url, crawler_id::INT AS crawler_id FROM l WHERE NOT regexp_matches(url, '\\.(jpg|png)$') AND EXISTS (SELECT 1 FROM pat WHERE pat.crawler_id = l.crawler_id AND regexp_matches(string_split(url, '#')[1], '(?i)^(?:' || pattern || ')'))""")
 def valid_links(spark, sf_dir):
     links = D.read(spark, sf_dir, "pages").select("url", (F.col("page_id") % 2 + 1).cast("int").alias("crawler_id"))
-    return P.valid_links(links, D.url_patterns(spark))
+    return P.valid_links(links, D.url_patterns(spark, sf_dir))
 
 
 @query(f"""WITH {_PAT}, l AS (SELECT DISTINCT url, (1 + page_id % 2)::INT AS crawler_id FROM pages),
@@ -388,13 +386,13 @@ m AS (SELECT l.*, pattern_id, row_number() OVER (PARTITION BY url, l.crawler_id
 SELECT url, crawler_id, pattern_id FROM m WHERE r = 1""")
 def crawler_pattern_match(spark, sf_dir):
     links = D.read(spark, sf_dir, "pages").select("url", (F.col("page_id") % 2 + 1).cast("int").alias("crawler_id"))
-    return P.match_crawler(links, D.url_patterns(spark))
+    return P.match_crawler(links, D.url_patterns(spark, sf_dir))
 
 
 @query(f"""WITH {_PAT}, c(crawler_id, d) AS (VALUES (1, 2), (2, NULL)) SELECT pattern_id, d IS NULL OR d = pattern_id AS is_default FROM pat LEFT JOIN c USING (crawler_id)""")
 def default_flags(spark, sf_dir):
     crawlers = spark.createDataFrame([(1, 2), (2, None)], "crawler_id int, default_url_pattern int")
-    return P.with_default_flag(D.url_patterns(spark), crawlers).select("pattern_id", "is_default")
+    return P.with_default_flag(D.url_patterns(spark, sf_dir), crawlers).select("pattern_id", "is_default")
 
 
 # Frontier
@@ -449,46 +447,6 @@ def _parsed(spark, sf_dir, name="BSoup"):
     return H.scrape(D.read(spark, sf_dir, "pages"), name, now=datetime(2024, 6, 1))
 
 
-@query()
-def scraped_pages(spark, sf_dir):
-    return _parsed(spark, sf_dir).withColumn("metadata", F.to_json("metadata"))
-
-
-@query()
-def visible_text(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("url", F.posexplode("text").alias("pos", "piece"))
-
-
-@query()
-def highlights(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("url", F.explode("highlighted_strings").alias("highlight"))
-
-
-@query()
-def dom_links(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("url", F.explode("links").alias("link"))
-
-
-@query()
-def page_meta(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("url", F.explode("metadata").alias("key", "value")).select("url", "key", F.array_join("value", "|").alias("value"))
-
-
-@query()
-def article_text(spark, sf_dir):
-    return _parsed(spark, sf_dir, "Readability").select("url", F.array_join("text", "\n").alias("text"))
-
-
-@query()
-def newspaper_text(spark, sf_dir):
-    return _parsed(spark, sf_dir, "Newspaper").select("url", F.array_join("text", "\n").alias("text"))
-
-
-@query()
-def page_date(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("url", "date")
-
-
 @query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS t FROM documents)
 SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS kept FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i, t[i] AS x FROM l) WHERE length(x) > 0.3 * list_max(list_transform(t, lambda y: length(y))) GROUP BY doc_id""")
 def junk_cut(spark, sf_dir):
@@ -518,11 +476,6 @@ def english_only(spark, sf_dir):
     return G.english_only(docs, "lang").select("doc_id")
 
 
-@query()
-def language_votes(spark, sf_dir):
-    return D.read(spark, sf_dir, "documents").select("doc_id", T.language_vote(F.col("text")).alias("voted"))
-
-
 @query("""WITH n AS (SELECT c_nationkey AS prop, c_custkey AS item, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 49 AS batch FROM customer)
 SELECT prop::BIGINT AS prop, batch::INT AS batch, string_agg(item::VARCHAR, ',' ORDER BY item) AS ids FROM n GROUP BY prop, batch""")
 def batch49(spark, sf_dir):

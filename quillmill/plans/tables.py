@@ -11,16 +11,6 @@ from quillmill.functions import urls
 #: A name is in the gazetteer if so many documents hold it.
 NAME_DOCS = 5
 
-PATTERNS = [
-    # pattern_id, website, crawler_id, pattern, is_default
-    (1, "ththre.example.com", 1, r"https?://ththre\.example\.com/", True),
-    (2, "ththre.example.com", 1, r"https?://ththre\.example\.com/fr/", False),
-    (3, "www.ththre.example.com", 1, r"https?://(www\.)?ththre\.example\.com/en/", False),
-    (4, "cheap-pills.example.com", 2, r"https?://cheap-pills\.example\.com/", True),
-    (5, "cheap-pills.example.com", 2, r"https?://cheap-pills\.example\.com/.*page=", False),
-]
-
-
 #: Tables whose rows cost enough to be worth dealing out.
 HEAVY = frozenset({"documents", "pages"})
 
@@ -47,8 +37,15 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.select(F.col("_name").alias("name"), "_name", F.concat(F.lit("letter_"), F.substring("_name", 1, 1)).alias("category"), F.lit("documents").alias("source"), F.lit(0).cast("long").alias("occur"), (F.length("_name") % 5 == 0).alias("disabled"))
 
 
-def url_patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PATTERNS, "pattern_id int, website string, crawler_id int, pattern string, is_default boolean")
+def url_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of the pages' hosts: of each a default, one of its English and French part, and of every other one those of its lists."""
+    hosts = page_sites(spark, sf_dir).filter("site IS NOT NULL").groupBy(urls.bare_host(F.col("site")).alias("bare")).agg(F.min("page_id").alias("m"))
+    rows = hosts.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).filter("k < 3 OR m % 2 = 0")
+    tail = F.when(F.col("k") == 1, "/").when(F.col("k") == 2, "/(en|fr)/").otherwise("/.*page=")
+    return rows.select(
+        (3 * F.col("m") + F.col("k")).alias("pattern_id"), F.concat(F.when(F.col("k") == 2, "www.").otherwise(""), "bare").alias("website"), (1 + (F.col("m") + F.col("k")) % 2).cast("int").alias("crawler_id"),
+        F.concat(F.lit(r"https?://(www\.)?"), F.replace("bare", F.lit("."), F.lit(r"\.")), tail).alias("pattern"), (F.col("k") != 2).alias("is_default"),
+    )
 
 
 def page_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
