@@ -12,9 +12,15 @@ _OWN = "quillmill.own.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a new local folder for this session."""
+    """spark.checkpoint.dir; where that is unset, as in tests, a new local folder for this session.
+
+    Off local mode executors would each write to a disk of their own there, so it must be set.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set(_OWN, where)
     return where.rstrip("/")
@@ -43,4 +49,12 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quillmill_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what materialize() wrote for df, once nothing reads it any more; other frames are left alone."""
+    if path := getattr(df, "_quillmill_path", None):
+        _remove(df.sparkSession, path)
