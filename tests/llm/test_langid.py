@@ -9,19 +9,24 @@ from quillmill.llm import langid
 from .helpers import ODD, documents, driver_rows
 
 
-def brute_bits(counts, text):
-    """PPM with exclusion, byte by byte."""
+def tree_of(text, order=4):
+    """How often each byte follows each context of up to four bytes, from a plain loop."""
+    data = langid.text_bytes(text).tolist()
     tree = {}
-    for code, n in counts.items():
-        a, b, c = code >> 16, code >> 8 & 255, code & 255
-        for ctx in ((a, b), (b,), ()):
-            tree.setdefault(ctx, Counter())[c] += n
+    for i in range(order, len(data)):
+        for n in range(order + 1):
+            tree.setdefault(tuple(data[i - n : i]), Counter())[data[i]] += 1
+    return tree
+
+
+def brute_bits(tree, text, order=4):
+    """PPM with exclusion, byte by byte."""
     data = langid.text_bytes(text).tolist()
     total = 0.0
-    for i in range(2, len(data)):
+    for i in range(order, len(data)):
         out, ruled = 0.0, set()
-        for ctx in ((data[i - 2], data[i - 1]), (data[i - 1],), ()):
-            seen = {s: n for s, n in tree.get(ctx, {}).items() if s not in ruled}
+        for n in range(order, -1, -1):
+            seen = {s: k for s, k in tree.get(tuple(data[i - n : i]), {}).items() if s not in ruled}
             if not seen:
                 continue
             whole = sum(seen.values()) + len(seen)
@@ -36,23 +41,53 @@ def brute_bits(counts, text):
     return total
 
 
+def model_of(texts):
+    return langid.PPM.learn({k: np.unique(langid.grams(langid.text_bytes(t)), return_counts=True) for k, t in texts.items()})
+
+
 def test_code_lengths_are_exact():
     texts = {"x": "the cat sat on the mat and the dog", "y": "der hund und die katze è"}
-    counts = {k: Counter(langid.triples(langid.text_bytes(t)).tolist()) for k, t in texts.items()}
-    model = langid.PPM.learn(counts)
-    for probe in ["the hat", "und ñ!", "A", "è è", "zzz"]:
-        got = model.lengths(probe)
-        for lang, bits in zip(model.languages, got):
-            assert abs(bits - brute_bits(counts[lang], probe)) < 1e-3 * max(1, bits)
-
-
-def test_probabilities_of_a_context_add_up_to_at_most_one():
-    model = langid.PPM.learn({"x": Counter(langid.triples(langid.text_bytes("some text to learn from, once")).tolist())})
-    a = int(model.symbol.max()) + 1
-    p = np.exp2(-model.table[:, 0].reshape(a, a, a).astype(float))
-    novel = 256 - (a - 1)
-    sums = p[:, :, :-1].sum(axis=2) + novel * p[:, :, -1]
-    assert np.allclose(sums, 1, atol=1e-4)
+    model = model_of(texts)
+    for probe in ["the hat", "und ñ!", "A", "è è", "zzz", "the cat sat on the mat", "d", "ad the dog and the mat sat"]:
+        for lang, bits in zip(model.languages, model.lengths(probe), strict=True):
+            assert abs(bits - brute_bits(tree_of(texts[lang]), probe)) < 1e-3 * max(1, bits), (lang, probe)
+
+
+def test_code_lengths_of_documents_are_exact():
+    rows = [r for r in driver_rows("documents") if r["text"]]
+    texts = {k: " ".join(r["text"] for r in rows if r["lang"] == k)[:60_000] for k in ("en", "de", "fr")}
+    model, trees = model_of(texts), {k: tree_of(t) for k, t in texts.items()}
+    for r in rows[:40]:
+        probe = r["text"][:600]
+        for lang, bits in zip(model.languages, model.lengths(probe), strict=True):
+            assert abs(bits - brute_bits(trees[lang], probe)) < 1e-3 * max(1, bits)
+
+
+def test_probabilities_of_a_context_add_up_to_one():
+    model = model_of({"x": "some text to learn from, once and once more", "y": "other words"})
+    for context in (b"some", b" to ", b"zzzz", b"once", b"    ", b"xxto"):
+        codes = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)], np.int64)
+        assert np.allclose(np.exp2(-model._lengths(codes)).sum(axis=0), 1, atol=1e-4)
+
+
+def test_places_find_what_is_there_and_nothing_else():
+    rnd = np.random.default_rng(3)
+    codes = np.unique(rnd.integers(0, 1 << 40, 20_000))
+    places = langid.Places(codes)
+    probe = np.concatenate([codes, rnd.integers(0, 1 << 40, 20_000)])
+    want = {c: i for i, c in enumerate(codes.tolist())}
+    assert places.of(probe).tolist() == [want.get(c, len(codes)) for c in probe.tolist()]
+    assert langid.Places(codes[:0]).of(probe).tolist() == [0] * len(probe)
+
+
+def test_a_repeated_id_hides_no_language_and_counts_once(spark):
+    many = [(7, f"some english words that are said over and over {i}", "en", "s", 1) for i in range(5000)]
+    few = [(i, f"der hund und die katze sind im haus {i}", "de", "s", 1) for i in range(100, 130)]
+    docs = spark.createDataFrame(many + few, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.learn(docs)
+    assert model.languages == ["de", "en"]
+    # one text of the repeated id is learned
+    assert model.total[0][0][model.languages.index("en")] < np.log2(200)
 
 
 def test_held_out_accuracy(spark):

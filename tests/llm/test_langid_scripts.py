@@ -1,19 +1,14 @@
-from collections import Counter
-
-from quillmill.llm import langid
-
-from .test_langid import brute_bits
+from .test_langid import brute_bits, model_of, tree_of
 
 
 def test_all_byte_values_have_statistics():
     # 64 two-byte letters of each script, so that over 127 byte values are in use; the last language has least text
     scripts = {k: "".join(map(chr, range(at, at + 64))) for k, at in (("a", 0x400), ("b", 0x5C0), ("c", 0x700), ("d", 0x3040))}
     texts = {k: (" ".join(s) + " " + s) * (1 if k == "d" else 50) for k, s in scripts.items()} | {"e": "".join(map(chr, range(32, 127))) * 60}
-    counts = {k: Counter(langid.triples(langid.text_bytes(t)).tolist()) for k, t in texts.items()}
-    assert len({c & 255 for own in counts.values() for c in own}) > 127
-    model = langid.PPM.learn(counts)
+    assert len({c for t in texts.values() for c in t.encode()}) > 127
+    model, trees = model_of(texts), {k: tree_of(t) for k, t in texts.items()}
     for probe in [*scripts.values(), "abc \u0401", "\U0001f642"]:
         for lang, bits in zip(model.languages, model.lengths(probe), strict=True):
-            want = brute_bits(counts[lang], probe)
+            want = brute_bits(trees[lang], probe)
             assert abs(bits - want) < 1e-3 * max(1, want), (lang, probe)
     assert all(model.predict(s)[0] == k for k, s in scripts.items())
