@@ -27,7 +27,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_histories(table(spark, sf_dir, "pages"))
+    return warc.capture_histories(table(spark, sf_dir, "pages")).drop("archive", "record_offset", "range_id", "range_pos")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,20 @@ QUERIES = {
 _WORD = r"[^\x20\x09-\x0D]"
 
 ORACLES: dict[str, str] = {
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, coalesce(string_split(url, '#')[1], '') AS u FROM pages),
+f AS (SELECT body, max(page_id) AS most FROM p GROUP BY body),
+k AS (SELECT *, CASE WHEN contains(u, '://') THEN regexp_replace(u, '^.*?://', '') ELSE u END AS rest FROM p),
+h AS (SELECT *, regexp_extract(rest, '^[^/?]*') AS place FROM k),
+n AS (SELECT *, regexp_replace(lower(string_split(string_split(place, '@')[-1], ':')[1]), '^www\.', '') AS host, substr(rest, length(place) + 1) AS tail, lower(sha1(body)) AS hex,
+             strftime(make_timestamp((1704067200 + page_id % 3000000000) * 1000000), '%Y%m%d%H%M%S') AS capture_ts FROM h),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+             list_sum(list_transform(range(0, 5), lambda j: (strpos('0123456789abcdef', substr(hex, (5 * (i // 4) + j + 1)::BIGINT, 1)) - 1) * (16 ** (4 - j))::BIGINT))::BIGINT // (32 ** (3 - i % 4))::BIGINT) % 32, 1)), '') AS digest,
+             CASE WHEN u = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN tail = '' THEN '/' ELSE tail END END AS url_key FROM n)
+SELECT page_id, octet_length(encode(d.body))::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> most THEN most END AS refers_to, url_key, capture_ts, row_number() OVER (ORDER BY url_key, capture_ts, page_id) - 1 AS position
+FROM d JOIN f ON f.body = d.body
+""",
     # rules of the cascade as one condition: their order doesn't matter
     "op6_quality": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

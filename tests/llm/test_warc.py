@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 
@@ -56,3 +57,43 @@ def test_url_keys():
     assert warc.url_key("http://www.Ex.com:80/A?b#c") == "com,ex)/A?b"
     assert warc.url_key("https://ex.com") == "com,ex)/"
     assert warc.url_key(None) == ""
+
+
+def test_ids_of_any_size_and_repeats(spark):
+    ids = [7 * 10**18, 3 * 10**11, -5, 0, None, None, 4, 4]
+    rows = [{"page_id": i, "url": f"http://h/{k}", "html": "same" if k > 3 else f"x{k}"} for k, i in enumerate(ids)]
+    pages = spark.createDataFrame([tuple(r.values()) for r in rows], "page_id long, url string, html string").selectExpr("*", "1 as _first", "2 as _max", "'b' as _body")
+    got = warc.capture_histories(pages)
+    assert result(got) == brute(rows)
+    assert all(len(r.capture_ts) == 14 for r in got.collect())
+
+
+def test_record_ids_differ_and_refer_to_a_response(spark, tmp_path):
+    rows = [(i, "u", "p") for i in (1, 1, 2, 2, None, None)] + [(2, "v", "q")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    headers = []
+    for f in (tmp_path / "w").glob("part-*"):
+        with gzip.open(f) as data:
+            headers += [h for _, h, _ in warc.parse_records(data)]
+    names = [h["warc-record-id"] for h in headers]
+    assert len(set(names)) == len(names) == 7
+    responses = {h["warc-record-id"] for h in headers if h["warc-type"] == "response"}
+    assert {h["warc-refers-to"] for h in headers if h["warc-type"] == "revisit"} <= responses
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, f"u{i}", "x" * (20_000 if i % 50 == 0 else 100)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w", records_per_file=100, file_bytes=60_000)
+    for f in (tmp_path / "w").glob("part-*"):
+        with gzip.open(f) as data:
+            sizes = [len(block) for _, _, block in warc.parse_records(data)]
+        assert len(sizes) <= 100 and sum(sizes) < 60_000 + 100 * 150, sizes
+
+
+def test_positions_are_the_global_order(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}/{i % 3}", f"p{i % 11}") for i in range(300)], "page_id long, url string, html string")
+    rows = sorted(warc.capture_histories(pages).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(300))
+    order = [(r.url_key, r.capture_ts, r.page_id) for r in rows]
+    assert order == sorted(order)
