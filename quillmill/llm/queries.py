@@ -63,7 +63,44 @@ QUERIES = {
 
 _WORD = r"[^\x20\x09-\x0D]"
 
+_ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: Patterns of the kinds of secrets in order, and which matches stay.
+_SECRETS = [
+    ("assign", _ASSIGN, f"length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(hit) >= 20"),
+    ("hex", "[0-9a-f]+", "length(hit) >= 24"),
+    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+    ("host_token", "(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})", "true"),
+]
+_MARKED = "\nUNION ALL ".join(f"SELECT doc_id, {k} AS rank, '{kind}' AS kind, string_split(regexp_replace(text, '{rx}', chr(1) || '\\0' || chr(2), 'g'), chr(2)) AS p FROM t" for k, (kind, rx, _) in enumerate(_SECRETS))
+_KEPT = " OR ".join(f"(kind = '{kind}' AND {ok})" for kind, _, ok in _SECRETS)
+
 ORACLES: dict[str, str] = {
+    # matches are marked in the text, which is cut at the marks: lengths of the parts are their places
+    "op2_secrets": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_MARKED}),
+e AS (SELECT doc_id, rank, kind, i, p[i] AS x FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM m WHERE len(p) > 1)),
+s AS (SELECT *, (sum(length(replace(x, chr(1), ''))) OVER (PARTITION BY doc_id, rank ORDER BY i))::BIGINT AS stop, split_part(x, chr(1), 2) AS hit FROM e),
+f AS (SELECT doc_id, rank, kind, stop - length(hit) AS start, stop FROM s WHERE contains(x, chr(1)) AND ({_KEPT})),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
+      string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM f GROUP BY doc_id)
+SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob
+FROM t LEFT JOIN g ON g.doc_id = t.doc_id
+""",
+    "op3_line_chunks": """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE contains(text, chr(10))),
+p AS (SELECT doc_id, k, doc_id::HUGEINT * 4294967296 + k AS place, x[k + 1] AS a, x[k + 2] AS b FROM (SELECT doc_id, x, unnest(range(0, len(x) - 1)) AS k FROM l)),
+f AS (SELECT *, min(place) OVER (PARTITION BY a, b) AS first FROM p),
+g AS (SELECT DISTINCT doc_id, unnest([k, k + 1]) AS j FROM f WHERE place <> first AND NOT (a = b AND place = first + 1)),
+i AS (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM g),
+r AS (SELECT doc_id, min(j) AS start, max(j) + 1 AS stop FROM i GROUP BY doc_id, island),
+s AS (SELECT doc_id, count(*) AS n_chunks, sum(stop - start)::BIGINT AS n_lines, string_agg(start || ':' || stop, ',' ORDER BY start) AS removed FROM r GROUP BY doc_id),
+k AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.j) AS text FROM (SELECT doc_id, unnest(range(0, len(x))) AS j, unnest(x) AS line FROM l) e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = e.doc_id AND g.j = e.j) GROUP BY e.doc_id)
+SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_lines, 0) AS n_lines, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+""",
     "op5_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, coalesce(string_split(url, '#')[1], '') AS u FROM pages),
 f AS (SELECT body, max(page_id) AS most FROM p GROUP BY body),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, new_path
 
 Spans = list[tuple[int, int]]
 
@@ -81,21 +81,30 @@ def blobs_of(versions: DataFrame) -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
 
 
-def scan_unseen(versions: DataFrame, rules: list[Rule], ledger: DataFrame | None = None) -> DataFrame:
-    """Findings of the (blob, rule) pairs that the ledger lacks: blob, kind, version, rank (of the rule), start, stop.
+def named(rules: list[Rule]) -> list[str]:
+    return [f"{r.kind}:{r.version}" for r in rules]
 
-    One row of each blob is scanned: the least path, found from digests alone, so that texts
-    move once and copies, however many, cost one scan. A null path ranks as an empty one.
+
+def unseen(versions: DataFrame, rules: list[Rule], ledger: DataFrame | None = None) -> DataFrame:
+    """blob, path (the least that has it) and done (the rules, as kind:version, that it has met) of the blobs that some rule hasn't met.
+
+    Found from digests alone. A null path ranks as an empty one.
+    """
+    first = blobs_of(versions.select(F.coalesce("path", F.lit("")).alias("path"), "text")).groupBy("blob").agg(F.min("path").alias("path"))
+    none = F.array().cast("array<string>")
+    if ledger is None:
+        return first.withColumn("done", none)
+    key = F.concat_ws(":", "kind", "version")
+    seen = ledger.filter(key.isin(named(rules))).groupBy("blob").agg(F.collect_set(key).alias("done"))  # at most as many as there are rules
+    return first.join(seen, "blob", "left").withColumn("done", F.coalesce("done", none)).filter(F.size("done") < len(rules))
+
+
+def scan_unseen(versions: DataFrame, rules: list[Rule], todo: DataFrame) -> DataFrame:
+    """Findings of the (blob, rule) pairs of todo (from unseen): blob, kind, version, rank (of the rule), start, stop.
+
+    One row of each blob is scanned, so texts move once and copies, however many, cost one scan.
     """
-    named = blobs_of(versions.select(F.coalesce("path", F.lit("")).alias("path"), "text"))
-    first = named.groupBy("blob").agg(F.min("path").alias("path"))
-    wanted = {(r.kind, r.version) for r in rules}
-    if ledger is not None:
-        seen = ledger.filter(F.concat_ws(":", "kind", "version").isin([f"{k}:{v}" for k, v in wanted])).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("done"))
-        first = first.join(seen, "blob", "left").filter(F.size(F.coalesce("done", F.array().cast("array<string>"))) < len(wanted))
-    else:
-        first = first.withColumn("done", F.array().cast("array<string>"))
-    todo = named.join(first.hint("shuffle_hash"), ["blob", "path"]).select("blob", "text", "done")
+    texts = blobs_of(versions.select(F.coalesce("path", F.lit("")).alias("path"), "text")).join(todo.hint("shuffle_hash"), ["blob", "path"]).select("blob", "text", "done")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +119,17 @@ def scan_unseen(versions: DataFrame, rules: list[Rule], ledger: DataFrame | None
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["blob", "kind", "version", "rank", "start", "stop"])
 
     # repeated rows of one path and blob are scanned alike
-    return todo.mapInArrow(scan, FINDING_DDL).distinct()
+    return texts.mapInArrow(scan, FINDING_DDL).distinct()
 
 
-def join_back(versions: DataFrame, findings: DataFrame, names: list[str]) -> DataFrame:
-    """names (columns of versions) and spans, the array of struct(start, rank, kind, stop) in order, for every version, found in or not."""
-    per_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop"))).alias("spans"))
+def join_back(versions: DataFrame, findings: DataFrame, names: list[str], rules: list[Rule]) -> DataFrame:
+    """names (columns of versions), blob and spans, the array of struct(start, rank, kind, stop) in order, for every version, found in or not.
+
+    Only findings of these rules, in these versions, count; a rule's place in the list is its rank.
+    """
+    ranks = F.create_map(*(F.lit(x) for k, name in enumerate(named(rules)) for x in (name, k)))
+    wanted = findings.withColumn("rank", ranks[F.concat_ws(":", "kind", "version")]).filter("rank IS NOT NULL").select("blob", "start", "rank", "kind", "stop").distinct()
+    per_blob = wanted.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
     return blobs_of(versions).select(*names, "blob").join(per_blob, "blob", "left").select(*names, "blob", F.coalesce("spans", empty).alias("spans"))
 
@@ -139,12 +153,12 @@ class Ledger:
 
     def update(self, versions: DataFrame, rules: list[Rule]) -> int:
         """Scans what is new and says how many pairs that was. Findings are written before the
-        pairs are marked, so a run that dies in between is repeated and loses nothing."""
-        seen = self.scanned()
-        ids = blobs_of(versions.select("text")).select("blob").distinct()
+        pairs are marked, so a run that dies in between is repeated and loses nothing: what it
+        wrote is written again, and counts once."""
+        todo = materialize(unseen(versions, rules, self.scanned()), "unseen")
         kinds = F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules)))
-        new = materialize(ids.select("blob", kinds.alias("r")).select("blob", "r.kind", "r.version").join(seen, ["blob", "kind", "version"], "left_anti"), "unseen")
-        materialize(scan_unseen(versions, rules, seen), "findings").write.mode("append").parquet(f"{self.path}/findings")
+        new = todo.select("blob", "done", kinds.alias("r")).filter(~F.array_contains("done", F.concat_ws(":", "r.kind", "r.version"))).select("blob", "r.kind", "r.version")
+        scan_unseen(versions, rules, todo).write.mode("append").parquet(f"{self.path}/findings")
         new.write.mode("append").parquet(f"{self.path}/scanned")
         return new.count()
 
@@ -155,15 +169,23 @@ def spans_text(spans, kinds: list[str] | None = None):
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan_documents(docs: DataFrame) -> DataFrame:
-    """Each document as one version of the path doc_id, scanned with an empty ledger.
+def scan_documents(docs: DataFrame, ledger: Ledger | None = None, batches: int = 2) -> DataFrame:
+    """Each document as one version of the path doc_id, brought into a ledger and joined back to what it found.
 
-    doc_id, n_assign, n_access, n_hex, base_sha256, spans (all kinds) and blob. A null text is
-    empty; repeated rows, and rows without an id, each get the findings of their text. No row
-    is lost; other columns are ignored.
+    The documents come in batches by path, as versions of a corpus do: a blob that an earlier
+    batch has had, or that the given ledger knows, isn't scanned again. Without a ledger a new
+    one is kept in the shared folder. Returns doc_id, n_assign, n_access, n_hex, base_sha256,
+    spans (all kinds) and blob. A null text is empty; repeated rows, and rows without an id, each
+    get the findings of their text; a very long text is scanned whole, in one task; spans that
+    start together are in the order of the kinds. No row is lost and an empty table gives none;
+    other columns are ignored, whatever their names.
     """
+    spark, rules = docs.sparkSession, all_rules()
+    ledger = ledger or Ledger(spark, new_path(spark, "ledger"))
     versions = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("path"), "doc_id", "text")
-    found = join_back(versions, scan_unseen(versions, all_rules()), ["doc_id"])
+    for k in range(batches):
+        ledger.update(versions.filter(F.pmod(F.xxhash64("path"), F.lit(batches)) == k), rules)
+    found = join_back(versions, ledger.findings(), ["doc_id"], rules)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = [r.kind for r in base_rules()]
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in base), F.sha2(spans_text(F.col("spans"), base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), "blob")

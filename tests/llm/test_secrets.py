@@ -52,5 +52,38 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert ledger.update(more, rules) == 1 * 3
     changed = [secrets.Rule("hex", 2, lambda t: [(0, 1)] if t else []), *rules[:2]]
     assert ledger.update(more, changed) == 3
-    back = {r.path: [(s.kind, s.start, s.stop) for s in r.spans] for r in secrets.join_back(more, ledger.findings().filter("version = 1"), ["path"]).collect()}
+    back = {r.path: [(s.kind, s.start, s.stop) for s in r.spans] for r in secrets.join_back(more, ledger.findings(), ["path"], rules).collect()}
+    again = {r.path: [(s.kind, s.start, s.stop) for s in r.spans] for r in secrets.join_back(more, ledger.findings(), ["path"], changed).collect()}
+    assert again["a"] == [("hex", 0, 1), ("assign", 0, 14)] and again["d"] == [("hex", 0, 1)]
     assert back == {"a": [("assign", 0, 14)], "b": [("assign", 0, 14)], "c": [], "d": [("hex", 0, 24)], "e": [("assign", 0, 14)]}
+
+
+def test_a_changed_rule_reports_a_span_once(spark, tmp_path):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    docs = spark.createDataFrame([("a", "token=abcdefgh")], "path string, text string")
+    old = secrets.base_rules()
+    newer = [secrets.Rule(r.kind, 2, r.find) for r in old]
+    assert ledger.update(docs, old) == 3 and ledger.update(docs, newer) == 3
+    for rules in (old, newer):
+        assert [len(r.spans) for r in secrets.join_back(docs, ledger.findings(), ["path"], rules).collect()] == [1]
+
+
+def test_documents_scan_through_a_ledger_once(spark, tmp_path):
+    rows = [(i, f"token=abcdefgh{i % 5}") for i in range(40)]
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    compare(rows, secrets.scan_documents(documents(spark, rows), ledger, batches=3))
+    assert ledger.scanned().groupBy("blob", "kind", "version").count().filter("count > 1").count() == 0
+    assert ledger.update(documents(spark, rows).withColumnRenamed("source", "path"), secrets.all_rules()) == 0
+
+
+def test_further_kinds_against_plain_search(spark):
+    rx = {
+        "pem": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
+        "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+        "host_token": r"gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}",
+    }
+    texts = [*TRICKY, "eyJabcdefgh1.eyJabcdefgh2.sig_natur-e0 and glpat-" + "x" * 20 + " xoxb-0123456789 xoxz-0123456789", "-----BEGIN PRIVATE KEY-----\nAA==\n", "GHP_" + "a" * 40, None]
+    got = {r.doc_id: r.spans for r in secrets.scan_documents(documents(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = {f"{k}:{m.start()}:{m.end()}" for k, p in rx.items() for m in re.finditer(p, t or "")}
+        assert {x for x in got[i].split(",") if x.split(":")[0] in rx} == want, t
