@@ -100,6 +100,29 @@ s AS (SELECT doc_id, count(*) AS n_chunks, sum(stop - start)::BIGINT AS n_lines,
 k AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.j) AS text FROM (SELECT doc_id, unnest(range(0, len(x))) AS j, unnest(x) AS line FROM l) e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = e.doc_id AND g.j = e.j) GROUP BY e.doc_id)
 SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_lines, 0) AS n_lines, coalesce(removed, '') AS removed
 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+""",
+    # units of the texts with their places; runs of repeated sentences are islands of touching places
+    "op4_substring_dedup": r"""
+WITH t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''),
+l0 AS (SELECT doc_id, i, CASE WHEN i < n THEN x || chr(10) ELSE x END AS line FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x, len(p) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM t))),
+l1 AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, list_filter(regexp_split_to_array(lower(line), '\s+'), lambda w: w <> '') AS words FROM l0 WHERE line <> ''),
+l AS (SELECT doc_id, stop - length(line) AS start, stop, line, words FROM l1 WHERE len(words) >= 13),
+c AS (SELECT doc_id, start AS origin, list_filter(string_split(regexp_replace(line, '([.!?])(\s+)', '\1\2' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM l),
+s0 AS (SELECT doc_id, origin, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM c WHERE len(p) > 1),
+s AS (SELECT doc_id, origin + sum(length(x)) OVER (PARTITION BY doc_id, origin ORDER BY i) AS stop, x, list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> '') AS words FROM s0),
+u AS (SELECT doc_id, start, stop, 0 AS n, array_to_string(words, ' ') AS form FROM l UNION ALL SELECT doc_id, stop - length(x), stop, len(words), array_to_string(words, ' ') FROM s),
+v AS (SELECT *, min(doc_id) OVER (PARTITION BY form) AS first, min(start) OVER (PARTITION BY form, doc_id) AS here FROM u),
+r AS (SELECT * FROM v WHERE first <> doc_id OR here <> start),
+o AS (SELECT *, sum(CASE WHEN before = start THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM (SELECT *, lag(stop) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM r WHERE n > 0)),
+g AS (SELECT doc_id, start, stop FROM r WHERE n = 0 UNION ALL SELECT doc_id, min(start), max(stop) FROM o GROUP BY doc_id, run HAVING sum(n) >= 25),
+m0 AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
+m1 AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS span FROM m0),
+m AS (SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop FROM m1 GROUP BY doc_id, span),
+k AS (SELECT doc_id, coalesce(lag(stop) OVER w, 0) AS a, start AS b FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY start) UNION ALL SELECT d.doc_id, coalesce(e, 0), length(d.text) FROM t d LEFT JOIN (SELECT doc_id, max(stop) AS e FROM m GROUP BY doc_id) x ON x.doc_id = d.doc_id),
+kept AS (SELECT k.doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS kept, string_agg(substr(text, a + 1, b - a), '' ORDER BY a) AS body FROM k JOIN t ON t.doc_id = k.doc_id WHERE a < b GROUP BY k.doc_id),
+removed AS (SELECT doc_id, count(*) AS n, string_agg(start || ':' || stop, ',' ORDER BY start) AS removed FROM m GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(body, '') END AS text, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(kept, '') AS kept
+FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN removed ON removed.doc_id = d.doc_id
 """,
     "op5_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, coalesce(string_split(url, '#')[1], '') AS u FROM pages),

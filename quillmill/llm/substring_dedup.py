@@ -1,9 +1,10 @@
-"""Deduplication by hashing normalised units of text: lines (paragraphs), and the sentences in them.
+"""Deduplication by hashing normalised units of text: lines (paragraphs), and runs of sentences in them.
 
-Every unit's digest is grouped over all documents, the occurrence of the earliest-ranked
-document (least doc_id, then first in it) stays and all others go. Sentences are units beside
-their line, since a shared passage needn't be set on lines of its own. Only digests and ids
-are shuffled for the grouping; each document's text moves once, to its own removals.
+Every unit's digest is grouped over all documents; the occurrence of the earliest-ranked
+document (least doc_id, then first in it) stays and all others go. A line goes by itself. A
+sentence goes only in a run of repeated sentences that is as long as a passage: passages aren't
+always set on lines of their own, but a single sentence is too short to be one. Only digests
+and ids are shuffled for the grouping; each document's text moves once, to its own removals.
 """
 
 from __future__ import annotations
@@ -19,36 +20,31 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Units of fewer words are never removed by themselves.
-MIN_WORDS = 5
+#: Lines of fewer words, and runs of sentences of fewer words together, are never removed.
+LINE_WORDS, RUN_WORDS = 13, 25
 LAST = (1 << 63) - 1
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
-def normalise(unit: str) -> str:
-    """Lower case, with runs of white space as one space."""
-    return " ".join(unit.lower().split())
+def units(text: str) -> Iterator[tuple[int, int, str, int]]:
+    """start, stop, normal form (lower case, single spaces) and, of a sentence, number of words (0 for a line) of each unit.
 
-
-def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """start, stop and normal form of each unit of min_words words or more. A unit runs to where the next one starts.
-
-    Lines come with their line break. A line of several sentences gives them too, after itself.
+    Lines of LINE_WORDS words or more come with their line break. One of several sentences gives
+    them too, after itself, each up to where the next one starts.
     """
     at = 0
     for line in _LINE.findall(text):
         words = line.lower().split()
-        if len(words) >= min_words:
-            yield at, at + len(line), " ".join(words)
+        if len(words) >= LINE_WORDS:
+            yield at, at + len(line), " ".join(words), 0
             cuts = [m.end() for m in _SENTENCE_END.finditer(line)]
             if cuts and cuts[-1] == len(line):
                 cuts.pop()
             if cuts:
                 for a, b in zip([0, *cuts], [*cuts, len(line)], strict=True):
                     words = line[a:b].lower().split()
-                    if len(words) >= min_words:
-                        yield at + a, at + b, " ".join(words)
+                    yield at + a, at + b, " ".join(words), len(words)
         at += len(line)
 
 
@@ -57,51 +53,67 @@ def digest(form: str) -> tuple[int, int]:
     return d >> 64, d & 0xFFFFFFFFFFFFFFFF
 
 
-def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """ord (doc_id, or the last rank), h1 and h2 of each different unit of each document."""
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """docs with ord (doc_id, or the last rank) and row, a hash of the text: what a row's removals are keyed by, so that no id, and no lack of one, gathers many rows."""
+    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("row"), "text", *more)
+
+
+def unit_table(docs: DataFrame) -> DataFrame:
+    """ord, row, h1 and h2 of each different unit of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = {digest(form) for _, _, form in units(text.as_py() or "", min_words)}
-                ids += [i] * len(got)
+            sizes, digests = [], []
+            for text in batch.column(2):
+                got = {digest(form) for _, _, form, _ in units(text.as_py() or "")}
+                sizes.append(len(got))
                 digests += got
             h = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["ord", "h1", "h2"])
+            repeat = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(repeat), batch.column(1).take(repeat), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["ord", "row", "h1", "h2"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "text").mapInArrow(run, "ord long, h1 long, h2 long")
+    return _keyed(docs).mapInArrow(run, "ord long, row long, h1 long, h2 long")
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """ord and gone, the first halves of the digests of the units that the document loses to an earlier one."""
-    every = unit_table(docs, min_words)
+def removals(docs: DataFrame) -> DataFrame:
+    """ord, row and gone, the first halves of the digests of the row's units that an earlier document has."""
+    every = unit_table(docs)
     shared = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("ord").alias("first")).filter("n > 1").select("h1", "h2", "first")
     shared = materialize(shared, "units")
-    return every.join(shared, ["h1", "h2"]).filter("ord != first").groupBy("ord").agg(F.collect_set("h1").alias("gone"))
+    return every.join(shared, ["h1", "h2"]).filter("ord != first").groupBy("ord", "row").agg(F.collect_set("h1").alias("gone"))
 
 
-def cut(text: str, gone: set[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """The spans to remove, merged and in order: units in gone, and units that the text itself has had before."""
+def cut(text: str, gone: set[int]) -> list[tuple[int, int]]:
+    """The spans to remove, merged and in order: of lines and long runs of sentences that are in gone, or that the text itself has had before."""
     spans: list[tuple[int, int]] = []
     seen: dict[int, int] = {}
-    for a, b, form in units(text, min_words):
+    run: list[int] = []  # start, stop and words of the sentences that go on from one another
+    for a, b, form, words in units(text):
         h = digest(form)[0]
-        if h in gone or seen.setdefault(h, a) != a:
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
-    return spans
-
-
-def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+        repeated = h in gone or seen.setdefault(h, a) != a
+        if repeated and words == 0:
+            spans.append((a, b))
+        elif repeated:
+            run = [run[0], b, run[2] + words] if run and run[1] == a else [a, b, words]
+            if run[2] >= RUN_WORDS:
+                spans.append((run[0], b))
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
+def dedup_units(docs: DataFrame) -> DataFrame:
     """doc_id, text (what is kept), n_removed (spans), removed and kept (spans of the original text, in code points, as start:stop).
 
     The text is the kept spans, joined. Every row comes back, with an empty text if all of it
-    was seen before, and with a null text if that was null. Rows that share a doc_id are one
-    document; rows without one rank last and, among themselves, keep what they share. No
-    documents give no rows; other columns are ignored.
+    was seen before, and with a null text if that was null. Rows that share a doc_id rank alike
+    and keep what only they share; so do rows without one, which rank last. Of a unit that one
+    text holds twice the first place stays. A very long text is worked on whole, in one task.
+    No documents give no rows; other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +122,7 @@ def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out = []
             for doc, text, gone in zip(*batch.columns, strict=True):
                 body = text.as_py()
-                spans = cut(body or "", {h & 0xFFFFFFFFFFFFFFFF for h in gone.as_py() or ()}, min_words)
+                spans = cut(body or "", {h & 0xFFFFFFFFFFFFFFFF for h in gone.as_py() or ()})
                 edges = [0, *(x for s in spans for x in s), len(body or "")]
                 kept = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
                 out.append((doc.as_py(), body if body is None else "".join(body[a:b] for a, b in kept), len(spans), show(spans), show(kept)))
@@ -118,6 +130,5 @@ def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cols = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "text", "n_removed", "removed", "kept"])
 
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("ord"))
-    joined = rows.join(removals(docs, min_words).hint("shuffle_hash"), "ord", "left").select("doc_id", "text", "gone")
+    joined = _keyed(docs, "doc_id").join(removals(docs).hint("shuffle_hash"), ["ord", "row"], "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(run, "doc_id long, text string, n_removed long, removed string, kept string")
