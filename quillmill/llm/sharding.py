@@ -134,23 +134,29 @@ def shard_documents(docs: DataFrame, shards: int = 40, planned: int = 40, bucket
     bytes), law ("key"), region, rack, shard, slot and grown_shard (with one shard more).
     Slots follow (bucket, doc_id, text_crc32, size): a shard is cut into hash buckets of about
     bucket_rows rows that are numbered apart, and start where the counts of the buckets before
-    end, so no task holds a whole shard. Repeated rows take slots of their own; an empty table
-    gives no rows; other columns are ignored.
+    end, so no task holds a whole shard; they depend on the rows and bucket_rows alone. Repeated
+    rows are counted where they are read, numbered as one, and told apart again in parts, so
+    they take slots of their own and no task numbers them one by one. A very long text costs its
+    bytes once. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).select(
         "doc_id", (F.octet_length("_text").cast("long") + ROW_OVERHEAD).alias("size"), F.crc32(F.encode("_text", "UTF-8")).alias("text_crc32")
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(math.ceil(4 * parts / shards), math.ceil(docs.count() / shards / bucket_rows))
-    placed = assign(rows, topology(shards, planned), topology(shards + 1, planned))
+    copies = materialize(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_n")), "copies")
+    total, most = copies.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    buckets = max(1, math.ceil(total / shards / bucket_rows))
+    placed = assign(copies, topology(shards, planned), topology(shards + 1, planned))
     placed = materialize(placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))), "shards")
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
+    counts = placed.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_all"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
-    return (
-        placed.withColumn("_at", F.row_number().over(within) - 1)
-        .join(starts, ["shard", "_bucket"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", (F.col("_start") + F.col("_at")).cast("long").alias("slot"), "grown_shard")
-    )
+    starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, ["shard", "_bucket"])
+    part = F.lit(bucket_rows).cast("long")
+    if most > bucket_rows:
+        numbered = numbered.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {bucket_rows}")))).repartition("doc_id", "text_crc32", "_part")
+    else:
+        numbered = numbered.withColumn("_part", F.lit(0).cast("long"))
+    each = F.explode(F.sequence(F.col("_part") * part, F.least(F.col("_n"), (F.col("_part") + 1) * part) - 1)).alias("_k")
+    told = numbered.select("*", each)
+    return told.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", (F.col("_start") + F.col("_at") + F.col("_k")).cast("long").alias("slot"), "grown_shard")

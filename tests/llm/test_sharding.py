@@ -68,3 +68,55 @@ def test_odd_rows_and_empty_table(spark):
     docs = documents(spark, ODD).selectExpr("*", "1 as shard", "2 as slot", "'x' as law")
     check(ODD, sharding.shard_documents(docs).collect())
     assert sharding.shard_documents(documents(spark, [])).count() == 0
+
+
+def plain_shard(doc_id, n, planned=40):
+    """The descent with Python's own integers and loops, a row at a time."""
+    import math
+
+    import xxhash
+
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m64
+        return x ^ (x >> 31)
+
+    def clock(key, path, weight):
+        node = 0x9E3779B97F4A7C15
+        for depth, p in enumerate(path):
+            node = (node * 0x100000001B3 + (p + 1) * 0x9E3779B97F4A7C15 + depth) & m64
+        h = mix((mix(key ^ node) + 0x9E3779B97F4A7C15) & m64)
+        return -math.log(((h >> 11) + 0.5) / (1 << 53)) / weight
+
+    # weights: a region counts its shards, a rack its own; shards beyond the plan are regions of one
+    tree = {}
+    for s in range(min(n, planned)):
+        tree.setdefault(s // 8, {}).setdefault(s % 8 // 2, []).append(s)
+    for s in range(planned, n):
+        tree[s - planned + 5] = {0: [s]}
+    key = xxhash.xxh64_intdigest((doc_id & m64).to_bytes(8, "little"), 42) if doc_id is not None else 42
+    region = min(tree, key=lambda r: clock(key, (r,), sum(map(len, tree[r].values()))))
+    rack = min(tree[region], key=lambda k: clock(key, (region, k), len(tree[region][k])))
+    return min(tree[region][rack], key=lambda s: clock(key, (region, rack, s), 1))
+
+
+def test_every_shard_is_that_of_a_plain_descent(spark):
+    rows = sharding.shard_documents(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, 40), plain_shard(r.doc_id, 41))
+
+
+def test_a_hot_row_is_counted_once_and_numbered_in_parts(spark):
+    rows = [(7, "hot")] * 900 + [(i, f"t{i}") for i in range(100)] + [(None, None)] * 60
+    for partitions in ("2", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = sharding.shard_documents(documents(spark, rows), shards=3, planned=3, bucket_rows=50).collect()
+        assert len(got) == len(rows)
+        for s in {r.shard for r in got}:
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        seen = sorted((r.shard, r.slot, r.doc_id) for r in got if r.doc_id is not None)
+        assert partitions == "2" or seen == before
+        before = seen
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
