@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.storage import materialize, new_path, shared_dir  # noqa: F401
+from quillmill.storage import discard, materialize, new_path, shared_dir  # noqa: F401
 
 #: Words are maximal runs of anything but these bytes: space, tab, LF, VT, FF, CR.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -37,8 +37,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     now = materialize(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     last = state(now)
     while last[0]:
-        now = materialize(_small_star(_large_star(now)), "stars")
+        before, now = now, materialize(_small_star(_large_star(now)), "stars")
         here = state(now)
+        discard(before)
         if here == last:
             break
         last = here

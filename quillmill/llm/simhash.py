@@ -4,9 +4,10 @@ A fingerprint pair within `radius` differing bits must be found, whatever the nu
 fingerprints. Every shard is a BK-tree whose children are keyed by their integer Hamming
 distance to the parent; a query follows only the edges within the radius of its own distance.
 Shards are formed so that two fingerprints within the radius always meet in one: with the 64
-bits cut into radius + 2 bands, at most `radius` bands differ, so at least two agree, and each
-pair of bands with its bits names a shard. That routing replaces sending every tree to every
-task, which would cost the square of the number of fingerprints.
+bits cut into more bands than `radius`, at most `radius` bands differ and the others agree, and
+each choice of so many bands with its bits names a shard. The number of bands grows with that of
+fingerprints, so that shards stay small. That routing replaces sending every tree to every task,
+which would cost the square of the number of fingerprints.
 """
 
 from __future__ import annotations
@@ -134,24 +135,61 @@ def spanning_links(tree_values: list[int], queries: list[int], radius: int, same
     return links
 
 
-def _bands(radius: int) -> list[tuple[int, int]]:
-    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
+def block_links(tree: np.ndarray, queries: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
+    """spanning_links() of two blocks of a crowded shard, whose fingerprints are so close that a tree rules little out: all distances of a query at once."""
+    values = tree if same else np.concatenate([tree, queries])
+    group = np.arange(len(values))
+    first = 0 if same else len(tree)
+    links = []
+    for q in range(len(queries)):
+        at = first + q
+        near = np.flatnonzero(np.bitwise_count(values[: at if same else len(tree)] ^ queries[q]) <= radius)
+        if not len(near):
+            continue
+        met, where = np.unique(group[near], return_index=True)
+        new = met != group[at]
+        if new.any():
+            links += [(int(queries[q]), int(values[near[k]])) for k in where[new]]
+            group[np.isin(group, met)] = group[at]
+    return links
+
+
+#: How many fingerprints a shard holds if they are spread evenly; more, and there are more bands.
+SHARD = 64
+
+
+def _bands(radius: int, count: int = 0) -> list[tuple[int, int]]:
+    """Where bands start and how wide they are: radius + 2 at least, and more, up to radius + 5, while shards of `count` fingerprints would be large."""
+    more = 2
+    while more < 5 and count >> (64 * more // (radius + more)) > SHARD:
+        more += 1
+    cuts = [64 * i // (radius + more) for i in range(radius + more + 1)]
     return [(lo, hi - lo) for lo, hi in itertools.pairwise(cuts)]
 
 
+def shard_keys(radius: int, count: int) -> list[F.Column]:
+    """A long for each choice of the bands that must agree: their bits, and in the top bits which choice it is, hashed together where both don't fit."""
+    bands = _bands(radius, count)
+    out = []
+    for t, chosen in enumerate(itertools.combinations(bands, len(bands) - radius)):
+        key, width = F.lit(t + 1).cast("long"), 8
+        for lo, n in chosen:
+            key = F.shiftleft(key, n).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND((1 << n) - 1))
+            width += n
+        if width > 63:
+            raise ValueError("a shard's key has more than 63 bits")
+        out.append(key)
+    return out
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     """Links a, b (fp, signed) that connect the same fingerprints as all pairs within the radius do.
 
     distinct has one row for each fp. A shard of over `block` fingerprints is cut into hash
-    blocks and each pair of blocks is searched by a task of its own, tree against queries, so
-    a crowded shard is spread and no task holds more than two blocks.
+    blocks and each pair of blocks is searched apart, so a crowded shard is spread and no task
+    holds more than two blocks at once.
     """
-    bands = list(enumerate(_bands(radius)))
-    # the bits of two bands, and which bands they are, in one long
-    keys = [
-        F.lit((t + 1) << 48) + F.shiftleft(F.shiftrightunsigned("fp", lo).bitwiseAND((1 << n) - 1), n2) + F.shiftrightunsigned("fp", lo2).bitwiseAND((1 << n2) - 1)
-        for t, ((_, (lo, n)), (_, (lo2, n2))) in enumerate(itertools.combinations(bands, 2))
-    ]
+    keys = shard_keys(radius, distinct.count())
     routed = distinct.select("fp", F.explode(F.array(*keys)).alias("shard"))
     sizes = routed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = materialize(sizes.filter(F.col("n") > block), "crowded")
@@ -169,10 +207,11 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, block: int = 2048) -
 
         def links_of(key, fps: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
             _, i, j = key
-            if i == j:
-                values = fps.tolist()
-                return spanning_links([], values, radius, True)
-            return spanning_links(fps[own == i].tolist(), fps[own == j].tolist(), radius, False)
+            if i != j:
+                return block_links(fps[own == i], fps[own == j], radius, False)
+            if len(fps) > block // 2:
+                return block_links(fps, fps, radius, True)
+            return spanning_links([], fps.tolist(), radius, True)
 
         held = None
         for batch in batches:
@@ -209,7 +248,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     fingerprint and are one node of the search, however many they are. Texts without a word
     (null, empty, blank) have fingerprint zero and link like any other. A null doc_id keeps its
     row, and takes part; a component of nothing but null ids has a null component_id. Repeated
-    rows come out as often as they came in. An empty table gives no rows; other columns are ignored.
+    rows come out as often as they came in. A very long text is hashed whole, in one task. An
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = materialize(fingerprints(docs, width), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -119,3 +121,51 @@ def test_one_of_each_group_stays_with_its_columns(spark):
     docs = documents(spark, [(3, text), (1, text), (2, "something else entirely in this one"), (None, text)])
     got = sorted((r.doc_id or 0) for r in simhash.keep_one_each(docs).collect())
     assert got == [0, 1, 2] and simhash.keep_one_each(docs).columns == docs.columns
+
+
+def test_more_fingerprints_have_more_and_narrower_bands():
+    sizes = [len(simhash._bands(4, n)) for n in (0, 10**6, 10**9, 5 * 10**10, 10**13)]
+    assert sizes == sorted(sizes) and sizes[0] == 6 and sizes[-1] == 9
+    for n in (0, 10**9, 5 * 10**10):
+        bands = simhash._bands(4, n)
+        assert sum(w for _, w in bands) == 64
+        shared = sum(sorted(w for _, w in bands)[: len(bands) - 4])
+        assert n >> shared <= simhash.SHARD
+        assert len(simhash.shard_keys(4, n)) == math.comb(len(bands), 4)
+
+
+def test_blocks_link_what_trees_link():
+    rnd = random.Random(5)
+    near = [rnd.getrandbits(64)]
+    near += [near[0] ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(7))) for _ in range(300)] + [rnd.getrandbits(64) for _ in range(50)]
+    values = np.array(sorted(set(near)), np.uint64)
+
+    def groups(links):
+        root = {v: v for v in values.tolist()}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in links:
+            root[find(a)] = find(b)
+        return {v: find(v) for v in root}
+
+    def alike(a, b):
+        return {frozenset(v for v in a if a[v] == r) for r in a.values()} == {frozenset(v for v in b if b[v] == r) for r in b.values()}
+
+    assert alike(groups(simhash.block_links(values, values, 4, True)), groups(simhash.spanning_links([], values.tolist(), 4, True)))
+    x, y = values[::2], values[1::2]
+    assert alike(groups(simhash.block_links(x, y, 4, False)), groups(simhash.spanning_links(x.tolist(), y.tolist(), 4, False)))
+
+
+def test_wider_routing_finds_the_same_components(spark, monkeypatch):
+    rnd = random.Random(6)
+    base = [rnd.getrandbits(63) for _ in range(60)]
+    fps = sorted({b ^ sum(1 << k for k in rnd.sample(range(63), rnd.randrange(6))) for b in base for _ in range(6)})
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
+
+    def components():
+        from quillmill.llm.components import connected_components
+
+        return sorted(map(tuple, connected_components(simhash.fingerprint_links(distinct, 4, block=64)).collect()))
+
+    want = components()
+    monkeypatch.setattr(simhash, "SHARD", -1)
+    assert len(simhash._bands(4, 1)) == 9 and components() == want
