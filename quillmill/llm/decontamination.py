@@ -15,7 +15,6 @@ at the threshold is missed with a chance of (1 - 0.8 / 3) ** 48, under one in a
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,8 +27,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WIDTH, THRESHOLD, HASHES = 5, 0.8, 48
-#: Items go out to all tasks in blocks of about so many rows and bytes of text.
+#: Items of at most so many rows and bytes of text go out to all tasks; more are joined.
 ITEM_ROWS, ITEM_BYTES = 4096, 8 << 20
 #: Shingles that are worked on together, and words whose hashes are kept.
 CHUNK, CACHE = 200_000, 1_000_000
@@ -182,55 +183,178 @@ class Index:
                     yield d, item, n
 
 
-def item_blocks(benchmark: DataFrame, rows: int = ITEM_ROWS, size: int = ITEM_BYTES) -> Iterator[Broadcast]:
-    """Indexes over the benchmark's items, a bounded block at a time; only a block is ever on the driver."""
-    spark = benchmark.sparkSession
+def keys_of(width: int, size: int, k: int, least: np.ndarray) -> np.ndarray:
+    """One number for a minimum with the width, size and hash function that it is of."""
+    with np.errstate(over="ignore"):
+        h = (least ^ np.uint64(((width * 64 + size.bit_length()) * 64 + k) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(31))
+
+
+class Marks:
+    """A set of keys as two bits each in a table of 2 ** bits: nothing in it is missed, some others pass."""
+
+    def __init__(self, bits: int, words: np.ndarray) -> None:
+        self.bits, self.words = bits, words
+
+    @staticmethod
+    def slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return keys >> np.uint64(64 - bits), keys & np.uint64((1 << bits) - 1)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for s in self.slots(keys, self.bits):
+            out &= (self.words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def block_minima(shingles: np.ndarray, sizes: list[int], factors: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Size, hash function and the minima of a document's blocks of that size."""
+    with np.errstate(over="ignore"):
+        for k, a in enumerate(factors):
+            least, last = shingles * a, 1
+            for size in sizes:
+                least = np.minimum.reduceat(least, np.arange(0, len(least), size // last))
+                last = size
+                yield size, k, least
+
+
+def joined_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, hashes: int = HASHES, most_bits: int = 30) -> DataFrame:
+    """leaks() for a benchmark of any size: items and documents meet in joins.
+
+    The items' minima go out as a bit table of at most 2 ** most_bits bits. One pass over the
+    documents keeps those with a minimum that may be an item's, each once, with these minima;
+    they are joined with the items' minima, and each candidate pair with both its texts.
+    """
+    spark = docs.sparkSession
+    factors = multipliers(hashes)
+    items = benchmark.groupBy("item_id", "text").agg(F.count("*").alias("times")).withColumn("item", F.monotonically_increasing_id())
+    items = materialize(items, "items")
+
+    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = words.of(text.as_py())
+                if len(own):
+                    width = min(WIDTH, len(own))
+                    own = np.unique(shingle_hashes(own, width))
+                    size = 1 << (len(own) - 1).bit_length()
+                    with np.errstate(over="ignore"):
+                        out += [(item, width, size, int(keys_of(width, size, k, (own * a).min(keepdims=True)).view(np.int64)[0])) for k, a in enumerate(factors)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["item", "width", "size", "key"])
+
+    known = materialize(items.select("item", "text").mapInArrow(minima, "item long, width int, size long, key long"), "item-minima")
+    n = known.count()
+    bits = min(most_bits, max(16, (16 * n).bit_length()))
+    high, low = F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND((1 << bits) - 1)
+    slot = known.select(F.explode(F.array(high, low)).alias("slot"))
+    words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sizes: dict[int, list[int]] = {}
+    for r in known.select("width", "size").distinct().orderBy("width", "size").collect():  # at most WIDTH times the powers of two
+        sizes.setdefault(r.width, []).append(r.size)
+    shared = spark.sparkContext.broadcast(Marks(bits, table))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words, marks = WordHashes(), shared.value
+        for batch in batches:
+            found = []
+            for text in batch.column(1):
+                hashed, keys = own_words.of(text.as_py()), [np.empty(0, np.uint64)]
+                for width, of_width in sizes.items():
+                    if len(shingles := shingle_hashes(hashed, width)):
+                        for size, k, least in block_minima(shingles, of_width, factors):
+                            got = keys_of(width, size, k, least)
+                            keys.append(got[marks.of(got)])
+                found.append(np.unique(np.concatenate(keys)).view(np.int64))
+            keep = pa.array([len(f) > 0 for f in found])
+            lists = pa.array(found, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "text", "keys"]).filter(keep)
+
+    hits = docs.select("doc_id", "text").mapInArrow(search, "doc_id long, text string, keys array<long>").withColumn("doc", F.monotonically_increasing_id())
+    hits = materialize(hits, "document-minima")
+    pairs = hits.select("doc", F.explode("keys").alias("key")).join(known.select("item", "key"), "key").select("doc", "item").distinct()
+    sides = pairs.join(hits.select("doc", "doc_id", F.col("text").alias("x")), "doc").join(items.withColumnRenamed("text", "y"), "item")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, x, item_id, y, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                item = items_of([(item_id, y)])[0]
+                n = len(item.shingles & shingles_of(normal_words(x), item.width))
+                if n >= threshold * len(item.shingles):
+                    out += [(doc_id, item_id, len(item.shingles), n, n / len(item.shingles))] * times
+            if out:
+                yield _leak_batch(out)
+
+    return sides.select("doc_id", "x", "item_id", "y", "times").mapInArrow(verify, LEAK_DDL)
+
+
+LEAK_DDL = "doc_id long, item_id long, n_shingles long, n_matched long, containment double"
+
+
+def _leak_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "n_shingles", "n_matched", "containment"])
+
+
+def small_index(benchmark: DataFrame, rows: int = ITEM_ROWS, size: int = ITEM_BYTES) -> Broadcast | None:
+    """An index over the items for all tasks, if they are at most so many rows and bytes of text; none comes to the driver otherwise."""
     n, total = benchmark.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(math.ceil(n / rows), math.ceil(total / size))
-    for b in range(blocks):
-        mine = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        if items := items_of([tuple(r) for r in mine.select("item_id", "text").collect()]):
-            yield spark.sparkContext.broadcast(Index(items))
+    if n > rows or total > size:
+        return None
+    return benchmark.sparkSession.sparkContext.broadcast(Index(items_of([tuple(r) for r in benchmark.select("item_id", "text").collect()])))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rows: int = ITEM_ROWS, size: int = ITEM_BYTES) -> DataFrame:
     """doc_id, item_id, n_shingles (of the item), n_matched and containment, for each pair of at least the threshold.
 
-    Words are lower-cased, stripped of marks at their ends and dropped if nothing is left. A
-    null or empty text, on either side, matches nothing. Repeated rows of either table give
-    repeated pairs. Empty tables give no rows; other columns are ignored.
+    Documents are read once, whatever the number of items: up to `rows` items and `size` bytes
+    go to all tasks, more are joined. Words are lower-cased, stripped of marks at their ends and
+    dropped if nothing is left. A null or empty text, on either side, matches nothing. Repeated
+    rows of either table give repeated pairs. A very long text is searched whole, in one task.
+    Empty tables give no rows; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    ddl = "doc_id long, item_id long, n_shingles long, n_matched long, containment double"
-    out = None
-    for index in item_blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
-            for batch in batches:
-                ids = batch.column(0)
-                rows = [(ids[d].as_py(), i.item_id, len(i.shingles), n, n / len(i.shingles)) for d, i, n in index.value.matches(batch.column(1).to_pylist(), words, threshold)]
-                if rows:
-                    kinds = [pa.int64()] * 4 + [pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "n_shingles", "n_matched", "containment"])
-
-        found = docs.select("doc_id", "text").mapInArrow(run, ddl)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], ddl)
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that contain no item. Each is judged by its own text, with or without a doc_id."""
-    for index in item_blocks(benchmark):
-        at = docs.columns.index("text")
-
-        def run(batches: Iterator[pa.RecordBatch], index=index, at=at) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for d, _, _ in index.value.matches(batch.column(at).to_pylist(), words, threshold):
-                    keep[d] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
+    index = small_index(benchmark, rows, size)
+    if index is None:
+        return joined_leaks(docs, benchmark, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            ids = batch.column(0)
+            found = [(ids[d].as_py(), i.item_id, len(i.shingles), n, n / len(i.shingles)) for d, i, n in index.value.matches(batch.column(1).to_pylist(), words, threshold)]
+            if found:
+                yield _leak_batch(found)
+
+    return docs.mapInArrow(run, LEAK_DDL)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rows: int = ITEM_ROWS, size: int = ITEM_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that contain no item.
+
+    Each row is judged by its own whole text, with or without a doc_id; a null or empty text, and
+    a repeated row, stays or goes by that alone. Empty tables change nothing.
+    """
+    benchmark = benchmark.select("item_id", "text")
+    index = small_index(benchmark, rows, size)
+    if index is None:
+        # texts are named by a hash and their length, so that rows without an id can be told apart
+        named = docs.withColumn("_quillmill_h", F.xxhash64("text", F.octet_length("text")))
+        found = joined_leaks(docs.filter("text IS NOT NULL").select(F.xxhash64("text", F.octet_length("text")).alias("doc_id"), "text").dropDuplicates(["doc_id"]), benchmark, threshold)
+        return named.join(found.select(F.col("doc_id").alias("_quillmill_h")).distinct(), "_quillmill_h", "left_anti").drop("_quillmill_h").select(docs.columns)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for d, _, _ in index.value.matches(batch.column(at).to_pylist(), words, threshold):
+                keep[d] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -45,16 +45,34 @@ def test_odd_rows_and_empty_tables(spark):
     clean = dc.clean_documents(docs, bench)
     bad = {r[0] for r in want}
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((i for i, _ in rows if i not in bad), key=repr) and clean.columns == docs.columns
+    assert result(dc.leaks(docs, bench, rows=0)) == want
+    joined = dc.clean_documents(docs, bench, rows=0)
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, clean.collect())) and joined.columns == docs.columns
+    assert dc.leaks(documents(spark, []), bench, rows=0).count() == 0
     assert dc.leaks(documents(spark, []), bench).count() == 0
     assert dc.leaks(docs, bench.limit(0)).count() == 0 and dc.clean_documents(docs, bench.limit(0)).count() == len(rows)
 
 
-def test_items_in_blocks(spark):
-    items = spark.createDataFrame([(i, f"item number {i} has words of its own {i * i}") for i in range(50)], "item_id long, text string")
-    docs = documents(spark, [(i, f"before it item number {i} has words of its own {i * i} after") for i in range(50)])
-    blocks = list(dc.item_blocks(items, rows=7))
-    assert len(blocks) > 3 and sum(len(b.value.items) for b in blocks) == 50
-    assert dc.leaks(docs, items).count() == 50
+def test_more_items_than_go_to_all_tasks_are_joined(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert dc.small_index(items, rows=3) is None
+    got = result(dc.leaks(docs, items, rows=3))
+    assert got == result(dc.leaks(docs, items)) and got
+
+
+def test_recall_at_the_threshold_when_joined(spark):
+    rng = np.random.default_rng(4)
+    docs, items = [], []
+    for trial in range(60):
+        item = [f"w{x}" for x in rng.integers(0, 5000, 5 + int(rng.integers(4, 60)))]
+        keep = -(-(len(item) - 4) * 8 // 10) + 4
+        doc, at = [f"w{x}" for x in rng.integers(0, 5000, 1000)], int(rng.integers(0, 1000))
+        doc[at:at] = item[:keep]
+        docs.append((trial, " ".join(doc)))
+        items.append((trial, " ".join(item)))
+    got = dc.leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"), rows=0)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(60)]
 
 
 def test_recall_at_the_threshold():
