@@ -1,21 +1,27 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule is a condition under which a document fails. On a bounded sample the cascade
-estimates what a rule costs (characters and words it goes over, by its kind) and what share it
-rejects, and orders the rules by rejection per cost. They stand in one CASE in that order, so
+measures how long a rule takes and what share it rejects, and orders the rules by rejection
+per cost. They stand in one CASE in that order, so
 a document meets a costly rule only if no cheaper, stricter one has turned it away. The order
 affects the time that a verdict takes and never the verdict.
 """
 
 from __future__ import annotations
 
+import contextlib
+import math
+import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS
+from .common import WORD_SEPARATORS, materialize
 
+#: Rows on which rules are measured, and files at most that they are drawn from.
+SAMPLE_ROWS, SAMPLE_FILES = 2000, 16
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 NOT_SEPARATORS, NOT_SYMBOLS = r"[^\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
@@ -46,11 +52,12 @@ def repeated_words(words: Column) -> Column:
     cover are counted once each: a window adds three words, less what it shares with the one before.
     """
     n = F.size(words)
-    windows = F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-    )
-    ordered = F.sort_array(windows)
+
+    def windows(h: Column) -> Column:
+        """The windows' hashes, of the hashes of their words, with their places."""
+        return F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.alias("i")))
+
+    ordered = F.sort_array(F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), windows), 1))
 
     def covered(s: Column) -> Column:
         at = lambda i: F.get(s, i)["h"]
@@ -65,12 +72,10 @@ def repeated_words(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """fails: when it holds the document goes. work: how often the rule goes over each character and each word."""
+    """fails: when it holds the document goes."""
 
     name: str
     fails: Column
-    per_char: float
-    per_word: float
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -97,27 +102,47 @@ def rules() -> list[Rule]:
     chars = F.length(text) - separator_count(text)
     lines = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return [
-        Rule("few_words", n < 50, 0.0, 0.1),
-        Rule("symbols", symbol_count(text) * 10 > n * 3, 1.0, 0.0),
-        Rule("capitals", capitals * 2 > letters, 2.0, 0.0),
-        Rule("word_length", (chars < n * 2) | (chars > n * 20), 0.5, 1.0),
-        Rule("repeated_lines", duplicate_lines(text) * 2 > lines, 1.5, 0.0),
-        Rule("repetition", repeated_words(words) * 100 > n * 50, 0.0, 25.0),
+        Rule("few_words", n < 50),
+        Rule("symbols", symbol_count(text) * 10 > n * 3),
+        Rule("capitals", capitals * 2 > letters),
+        Rule("word_length", (chars < n * 2) | (chars > n * 20)),
+        Rule("repeated_lines", duplicate_lines(text) * 2 > lines),
+        Rule("repetition", repeated_words(words) * 100 > n * 50),
     ]
 
 
-def ordered_rules(docs: DataFrame, every: list[Rule], sample_rows: int = 2000) -> list[Rule]:
-    """The rules by share rejected per cost, both estimated on a random sample of about sample_rows rows.
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS, files: int = SAMPLE_FILES) -> DataFrame:
+    """text of a random sample of about `rows` rows; of a table in more files than `files`, from so many, evenly spread, and no others are read."""
+    text = docs.select("text")
+    names = sorted({f.rsplit("/", 1)[-1] for f in docs.inputFiles()})
+    if len(names) > files:
+        few = F.col("_metadata.file_name").isin(names[:: math.ceil(len(names) / files)])
+        with contextlib.suppress(AnalysisException):  # not a plain table any more: then all of it is sampled
+            text = docs.filter(few).select("text")
+    return text.sample(min(1.0, rows / max(1, text.count())), 17)
+
+
+def seconds(sample: DataFrame, fails: Column) -> tuple[float, float]:
+    """How long a condition takes over the sample, the shorter of two runs, and the share for which it holds."""
+    took = []
+    for _ in range(2):
+        began = time.perf_counter()
+        share = sample.agg(F.avg(F.coalesce(fails, F.lit(False)).cast("double"))).first()[0]
+        took.append(time.perf_counter() - began)
+    return min(took), share or 0.0
+
 
-    One small aggregate comes to the driver. Ties, and an empty table, keep the given order.
+def ordered_rules(sample: DataFrame, every: list[Rule]) -> list[Rule]:
+    """The rules by share rejected per measured cost over sample, a small stored table of the columns they are over.
+
+    A cost is the time beyond that of a rule that does nothing; what can't be told from that
+    counts as a millisecond. Ties, and an empty table, keep the given order.
     """
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = features(docs.select("text").sample(share, 17))
-    got = sample.agg(
-        F.avg(F.length("_text")).alias("chars"), F.avg("n_words").alias("words"), *(F.avg(r.fails.cast("double")).alias(f"r{i}") for i, r in enumerate(every))
-    ).first()
-    chars, words = got["chars"] or 0.0, got["words"] or 0.0
-    gain = [(got[f"r{i}"] or 0.0) / (1.0 + r.per_char * chars + r.per_word * words) for i, r in enumerate(every)]
+    nothing, _ = seconds(sample, F.lit(False))
+    gain = []
+    for r in every:
+        took, share = seconds(sample, r.fails)
+        gain.append(share / max(took - nothing, 0.001))
     return [every[i] for i in sorted(range(len(every)), key=lambda i: -gain[i])]
 
 
@@ -130,36 +155,49 @@ def verdict(ordered: list[Rule]) -> Column:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, with their own columns alone.
+    """The documents that no rule rejects, with their own columns alone, whatever their names.
 
-    A null or empty text has no words and is rejected; repeated rows meet the same verdict.
+    A null or empty text has no words and is rejected; repeated rows meet the same verdict. A
+    very long text is judged whole, in the memory of one task. An empty table gives no rows.
     """
+    ordered = ordered_rules(materialize(features(sampled(docs)), "rule-sample"), rules())
     # a Filter would be pushed below the word list and work it out anew for each use; a generator isn't
-    kept = F.when(verdict(ordered_rules(docs, rules())).isNull(), F.array("_doc"))
+    kept = F.when(verdict(ordered).isNull(), F.array("_doc"))
     return features(docs.select(F.struct("*").alias("_doc"), "text")).select(F.inline(kept))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Counts and verdict for every row, kept or not.
-
-    doc_id, n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words
-    (longs), base_failed (under 50 words, or over half of them repeated), kept, and failed_rule
-    (the first of the cascade to fail, else null). A null text has no words. Repeated rows come
-    out as often as they came in; other columns are ignored, whatever their names.
-    """
+def counts(docs: DataFrame) -> DataFrame:
+    """features() with word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text, words = F.col("_text"), F.col("_words")
     counted = (
-        features(docs.select("doc_id", "text"))
+        features(docs)
         .withColumn("word_chars", F.length(text).cast("long") - separator_count(text))
         .withColumn("n_symbols", symbol_count(text))
         .withColumn("n_dup_lines", duplicate_lines(text))
         .withColumn("n_repeat_words", repeated_words(words))
     )
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
-    counted = counted.withColumn("base_failed", (n < 50) | (repeated * 100 > n * 50))
-    # what the counts above settle needn't be worked out again
+    return counted.withColumn("base_failed", (n < 50) | (repeated * 100 > n * 50))
+
+
+def rules_of_counts() -> list[Rule]:
+    """The rules where counts() are there: what those settle isn't worked out again."""
+    n, repeated = F.col("n_words"), F.col("n_repeat_words")
     known = {"few_words": n < 50, "symbols": F.col("n_symbols") * 10 > n * 3, "repetition": repeated * 100 > n * 50, "word_length": (F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 20)}
-    cascade = [Rule(r.name, known.get(r.name, r.fails), r.per_char, r.per_word) for r in ordered_rules(docs, rules())]
-    return counted.withColumn("failed_rule", verdict(cascade)).select(
+    return [Rule(r.name, known.get(r.name, r.fails)) for r in rules()]
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Counts and verdict for every row, kept or not.
+
+    doc_id, n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words
+    (longs), base_failed (under 50 words, or over half of them repeated), kept, and failed_rule
+    (the first of the cascade to fail, else null; which one that is follows the measured order,
+    kept doesn't). A null text has no words. Repeated rows come out as often as they came in; a
+    very long text is counted whole, in the memory of one task; an empty table gives no rows;
+    other columns are ignored, whatever their names.
+    """
+    cascade = ordered_rules(materialize(counts(sampled(docs)), "rule-sample"), rules_of_counts())
+    return counts(docs.select("doc_id", "text")).withColumn("failed_rule", verdict(cascade)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule"
     )

@@ -50,7 +50,30 @@ def test_order_does_not_change_a_verdict(spark):
 
 def test_cascade_puts_cheap_strict_rules_first(spark):
     docs = documents(spark, [(i, "few words here") for i in range(50)])
-    assert quality.ordered_rules(docs, quality.rules())[0].name == "few_words"
+    assert quality.ordered_rules(quality.features(docs), quality.rules())[0].name == "few_words"
+
+
+def test_of_rules_alike_in_rejection_the_dear_one_comes_later_by_measurement(spark, tmp_path):
+    docs = documents(spark, [(i, LONG) for i in range(40)])
+    quality.features(docs).write.parquet(f"file://{tmp_path}/sample")
+    sample = spark.read.parquet(f"file://{tmp_path}/sample")
+    dear = quality.Rule("dear", quality.repeated_words(quality.F.col("_words")) >= 0)
+    cheap = quality.Rule("cheap", quality.F.col("n_words") > 0)
+    assert [r.name for r in quality.ordered_rules(sample, [dear, cheap])] == ["cheap", "dear"]
+
+
+def test_sample_reads_few_files(spark, tmp_path):
+    documents(spark, [(i, f"text {i}") for i in range(400)]).repartition(20).write.parquet(f"file://{tmp_path}/many")
+    text = quality.sampled(spark.read.parquet(f"file://{tmp_path}/many"), rows=1000, files=4)
+    assert 0 < text.count() < 140
+    assert quality.sampled(spark.read.parquet(f"file://{tmp_path}/many").withColumn("x", quality.F.lit(1)).groupBy("text").count(), 1000, 4).count() == 400
+
+
+def test_plan_has_no_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (quality.judge(docs), quality.filter_documents(docs)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_labelled_documents(spark):
