@@ -1,8 +1,9 @@
-"""Near copies by five-word shingles: MinHash bands find candidate pairs, the texts decide.
+"""Near copies by five-word shingles: SimHash links and MinHash bands find candidate pairs, the texts decide.
 
 Two texts are near copies if the sets of their shingles have a Jaccard similarity of at least
-SIMILARITY. The fingerprints of `simhash` can't tell: at 0.8 they differ in about 10 of 64 bits
-and in 17 or more now and then, too many to route by. A band of ROWS minima agrees with chance
+SIMILARITY. The links of `simhash`, over fingerprints of the same shingles, give the closest of
+them; at 0.8 fingerprints differ in about 10 of 64 bits and in 17 or more now and then, too
+many to route by, so MinHash bands give the others. A band of ROWS minima agrees with chance
 0.8 ** ROWS at the threshold, so a pair there shares none of the BANDS with a chance of
 (1 - 0.8 ** 5) ** 28, under two in 100,000. Every candidate is then checked on its shingles, as
 words and not as hashes, so nothing is linked that is less similar.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import connected_components
 from .decontamination import multipliers
-from .simhash import _LOWER, shingle_hashes, words
+from .simhash import _LOWER, fingerprint_links, fingerprint_of, shingle_hashes, words
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
@@ -65,25 +66,27 @@ def similar(a: frozenset, b: frozenset) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, n (its shingles) and keys of its bands, for every row."""
+    """doc_id, digest of the text, n (its shingles), fp (its fingerprint) and keys of its bands, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, fps, keys = [], [], [], []
             for x in batch.column(1):
                 text = x.as_py() or ""
-                own = np.unique(shingle_hashes(text, WIDTH))
+                every = shingle_hashes(text, WIDTH)
+                own = np.unique(every)
+                fps.append(fingerprint_of(every))
                 # texts without a word are one text
                 digests.append(hashlib.blake2b(text.encode() if len(own) else b"", digest_size=16).digest())
                 sizes.append(len(own))
                 keys.append(band_keys(own).view(np.int64) if len(own) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "fp", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, fp long, keys array<long>")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """a, b (ids, a < b) of the pairs to check. texts has id, n and keys."""
+    """a, b (ids, a < b) of the pairs to check. texts has id, n, fp and keys."""
     members = materialize(texts.select(F.explode("keys").alias("bucket"), "id", "n").distinct(), "bands")
     shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("least")).filter("size > 1")
     rows = members.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.when(F.col("size") > SMALL, F.col("size") / BLOCK).otherwise(1))))
@@ -91,8 +94,19 @@ def candidates(texts: DataFrame) -> DataFrame:
     listed = rows.withColumn("others", F.collect_list(F.struct("id", "n")).over(before))
     near = F.when(F.col("size") > SMALL, F.slice("others", F.greatest(F.size("others") - NEAR + 1, F.lit(1)), NEAR)).otherwise(F.col("others"))
     pairs = listed.select("id", "n", F.explode(F.concat(near, F.array("least"))).alias("o")).filter("o.id != id")
-    alike = pairs.filter(F.least("n", "o.n") >= F.lit(SIMILARITY) * F.greatest("n", "o.n"))
-    return alike.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+    banded = pairs.select("id", "n", F.col("o.id").alias("id2"), F.col("o.n").alias("n2"))
+    alike = banded.unionByName(fingerprint_pairs(texts)).filter(F.least("n", "n2") >= F.lit(SIMILARITY) * F.greatest("n", "n2"))
+    return alike.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def fingerprint_pairs(texts: DataFrame, radius: int = 4) -> DataFrame:
+    """id, n, id2, n2 of texts that share a fingerprint with its least id, or whose fingerprints simhash links."""
+    stands = materialize(texts.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("s")), "fingerprints")
+    near = fingerprint_links(stands.select("fp"), radius).distinct()
+    one, two = stands.select(F.col("fp").alias("a"), "s.id", "s.n"), stands.select(F.col("fp").alias("b"), F.col("s.id").alias("id2"), F.col("s.n").alias("n2"))
+    linked = near.join(one, "a").join(two, "b").select("id", "n", "id2", "n2")
+    same = texts.join(stands, "fp").filter("id != s.id").select("id", "n", F.col("s.id").alias("id2"), F.col("s.n").alias("n2"))
+    return linked.unionByName(same)
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -119,8 +133,8 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """first, the least doc_id of each distinct text, and a, b, the links between those whose texts are similar."""
     rows = materialize(signatures(docs), "signatures")
-    least = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("s"))
-    texts = materialize(least.select("s.doc_id", "s.n", "s.keys").withColumnRenamed("doc_id", "id"), "distinct")
+    least = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "fp", "keys")).alias("s"))
+    texts = materialize(least.select("s.doc_id", "s.n", "s.fp", "s.keys").withColumnRenamed("doc_id", "id"), "distinct")
     pairs = materialize(candidates(texts), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = materialize(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").distinct(), "candidate-texts")
@@ -133,7 +147,8 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     Groups are connected over links, so a member may be less similar to the one that stays than
     SIMILARITY, but is linked to it by members that aren't. Rows that share a doc_id are one
     document and stay or go together. Rows without a doc_id are kept, since they can't be named,
-    and link nothing. Texts without a word are copies of each other.
+    and link nothing. Texts without a word are copies of each other. A very long text is hashed
+    and compared whole, in one task. An empty table gives no rows; columns may have any names.
     """
     firsts, near = links(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"))
     gone = connected_components(near).filter("node != root").select(F.col("node").alias("first"))

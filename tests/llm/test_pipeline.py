@@ -5,7 +5,7 @@ import sentencepiece
 import corpus_pipeline
 from quillmill.llm.queries import SENTENCEPIECE_MODEL
 
-from . import test_decontamination, test_line_chunks, test_quality, test_simhash
+from . import test_decontamination, test_line_runs, test_near_copies, test_quality
 from .helpers import ODD, documents, driver_rows
 
 SF = "/root/testdata/sf0.001"
@@ -21,8 +21,8 @@ def good(text):
 
 def brute(rows, items):
     rows = [(i, t) for i, t in rows if good(t)]
-    rows = [(r[0], r[1]) for r in test_line_chunks.brute(rows)]
-    stays = {d for d, _, c in test_simhash.brute(rows) if d == c}
+    rows = [(r[0], r[1]) for r in test_line_runs.brute(rows)]
+    stays = test_near_copies.brute(rows)
     rows = [(i, t) for i, t in rows if i in stays]
     leaks = {r[0] for r in test_decontamination.brute(rows, items)}
     own = sentencepiece.SentencePieceProcessor(model_file=SENTENCEPIECE_MODEL)
