@@ -270,7 +270,8 @@ def rollup_merge(spark, sf_dir):
 # Reports
 
 _REPORT_WORDS = """
-words AS (SELECT DISTINCT name AS word FROM (SELECT name FROM pent UNION ALL SELECT name FROM pcand) WHERE name < 'In' EXCEPT SELECT name FROM sent_ent WHERE "count" > 100),
+named_words AS (SELECT DISTINCT name AS word FROM (SELECT name FROM pent UNION ALL SELECT name FROM pcand)),
+words AS (SELECT word FROM named_words EXCEPT SELECT word FROM named_words JOIN lex ON lower(word) = term),
 known AS (SELECT name AS word, """ + _KIND.format(s="score") + """ AS sentiment, "count" FROM pent UNION ALL SELECT name, 'unknown', 1 FROM pcand),
 report AS (SELECT word AS entity, sentiment, sum("count")::BIGINT AS "count" FROM known JOIN words USING (word) GROUP BY ALL)"""
 
@@ -282,8 +283,9 @@ def _extracted(spark, sf_dir):
 
 
 def _words(ents, cands):
-    include = ents.select(F.col("name").alias("word")).unionByName(cands.select(F.col("name").alias("word"))).filter("word < 'In'")
-    exclude = U.fold_entities(ents.withColumnRenamed("page_key", "ord")).filter("count > 100").select(F.col("name").alias("word"))
+    """All names of pages, without those that are words of the lexicon."""
+    include = ents.select(F.col("name").alias("word")).unionByName(cands.select(F.col("name").alias("word")))
+    exclude = include.filter(F.lower("word").isin(list(LEXICON)))
     return W.chosen_words(include, exclude)
 
 
