@@ -10,13 +10,15 @@ words and not as hashes, so nothing is linked that is less similar.
 
 A bucket of up to SMALL texts gives all its pairs. In a larger one each text is paired with the
 bucket's least id and its neighbours by size within a block, so that a group of any size gives
-pairs in proportion and no task holds a whole bucket; there a link can be missed in one bucket
-and is left to the others that the pair shares.
+pairs in proportion. What these pairs leave out matters only where a large bucket still holds
+several groups: there all texts outside its largest group are compared with all others, a pair
+of blocks a task, and links that connect different groups are added. No task holds a whole bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Texts of a bucket whose pairs are all candidates, texts of a block of a larger one, and neighbours paired there.
 SMALL, BLOCK, NEAR = 32, 256, 2
-#: Shingles that are worked on together.
-CHUNK = 20_000
+#: Shingles that are worked on together, and those of a block of a large bucket, unless one text has more.
+CHUNK, BLOCK_SHINGLES = 20_000, 500_000
 _FACTORS = multipliers(BANDS * ROWS)
 
 
@@ -85,9 +87,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, fp long, keys array<long>")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """a, b (ids, a < b) of the pairs to check. texts has id, n, fp and keys."""
-    members = materialize(texts.select(F.explode("keys").alias("bucket"), "id", "n").distinct(), "bands")
+def candidates(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """a, b (ids, a < b) of the pairs to check. texts has id, n, fp and keys; members has bucket, id and n."""
     shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("least")).filter("size > 1")
     rows = members.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.when(F.col("size") > SMALL, F.col("size") / BLOCK).otherwise(1))))
     before = Window.partitionBy("bucket", "block").orderBy("n", "id").rowsBetween(1 - SMALL, -1)
@@ -130,15 +131,103 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def hashed_sets(docs: DataFrame) -> DataFrame:
+    """id and hashes, the different hashes of the text's shingles as bytes, for every row (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py() or "", WIDTH)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
+
+    return docs.mapInArrow(run, "id long, hashes binary")
+
+
+def joining_pairs(ids: list[int], roots: list[int], own: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of ids with similar sets that join different groups (roots), each join once; of two blocks (own), pairs across them alone."""
+    sizes, blocks = np.array([len(s) for s in sets]), np.array(own)
+    group = np.unique(roots, return_inverse=True)[1]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    across = blocks.min() != blocks.max()
+    out = []
+    for q in range(1, len(ids)):
+        fits = (group != group[q]) & (np.minimum(sizes, sizes[q]) >= SIMILARITY * np.maximum(sizes, sizes[q]))
+        fits[q:] = False
+        if across:
+            fits &= blocks != blocks[q]
+        if not fits.any():
+            continue
+        lo = np.searchsorted(flat, sets[q], "left")
+        found = np.searchsorted(flat, sets[q], "right") - lo
+        at = np.repeat(lo - (np.cumsum(found) - found), found) + np.arange(found.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        hits = np.flatnonzero(fits & (both >= SIMILARITY * (sizes + sizes[q] - both)))
+        met, where = np.unique(group[hits], return_index=True)
+        out += [(ids[q], ids[hits[k]]) for k in where]
+        group[np.isin(group, met)] = group[q]
+    return out
+
+
+def crowded_links(docs: DataFrame, crowded: DataFrame, near: DataFrame) -> DataFrame:
+    """a, b, links between groups that near leaves apart in some large bucket. docs has id and text, crowded bucket, id and n.
+
+    The texts of a bucket outside its largest group are compared with each other and with that
+    group. Both sides are cut into blocks by hash, as many as their texts and shingles ask for,
+    and a pair of blocks is one search, so a crowded bucket is spread over tasks; a search gives
+    fewer pairs than it has texts.
+    """
+    roots = connected_components(near)
+    placed = crowded.join(roots, crowded.id == roots.node, "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+    groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    most = F.max(F.struct("texts", "shingles", "root"))
+    buckets = groups.groupBy("bucket").agg(F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"), most.alias("top")).filter("top.texts < texts")
+
+    def blocks(texts: str, shingles: str) -> F.Column:
+        return F.ceil(F.greatest(F.expr(texts) / BLOCK, F.expr(shingles) / BLOCK_SHINGLES)).cast("int")
+
+    cut = buckets.select("bucket", "top.root", blocks("texts - top.texts", "shingles - top.shingles").alias("rest"), blocks("top.texts", "top.shingles").alias("main"))
+    mixed = materialize(placed.join(cut.withColumnRenamed("root", "top"), "bucket"), "mixed")
+    held = materialize(docs.join(mixed.select("id").distinct(), "id", "left_semi").distinct(), "mixed-texts")
+    small, spread = F.col("root") != F.col("top"), F.xxhash64("id", "bucket")
+    routed = mixed.withColumn("own", F.when(small, F.pmod(spread, "rest")).otherwise(F.col("rest") + F.pmod(spread, "main")).cast("int"))
+    routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(small, F.col("rest") + F.col("main")).otherwise(F.col("rest")) - 1)))
+    keyed = routed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "own")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (bucket, i, j); a run of equal keys is one search."""
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        for _, run in itertools.groupby(rows(), lambda r: r[:3]):
+            ids, of, own, sets = zip(*(r[3:] for r in run), strict=True)
+            pairs = joining_pairs(list(ids), list(of), list(own), [np.frombuffer(x, np.uint64) for x in sets])
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in pairs], pa.int64()) for f in (min, max)], names=["a", "b"])
+
+    whole = keyed.join(hashed_sets(held), "id").select("bucket", "i", "j", "id", "root", "own", "hashes")
+    pairs = whole.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInArrow(search, "a long, b long")
+    return checked(materialize(pairs.distinct(), "joining"), held)
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """first, the least doc_id of each distinct text, and a, b, the links between those whose texts are similar."""
+    """first, the least doc_id of each distinct text, and a, b, links between those whose texts are similar, that connect all that are."""
     rows = materialize(signatures(docs), "signatures")
     least = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "fp", "keys")).alias("s"))
     texts = materialize(least.select("s.doc_id", "s.n", "s.fp", "s.keys").withColumnRenamed("doc_id", "id"), "distinct")
-    pairs = materialize(candidates(texts), "candidates")
+    members = materialize(texts.select(F.explode("keys").alias("bucket"), "id", "n").distinct(), "bands")
+    pairs = materialize(candidates(texts, members), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = materialize(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").distinct(), "candidate-texts")
-    return texts.select(F.col("id").alias("first")).distinct(), checked(pairs, held)
+    named = docs.select(F.col("doc_id").alias("id"), "text")
+    held = materialize(named.join(wanted, "id", "left_semi").distinct(), "candidate-texts")
+    near = materialize(checked(pairs, held), "near")
+    large = members.groupBy("bucket").count().filter(F.col("count") > SMALL).select("bucket")
+    crowded = materialize(members.join(large, "bucket"), "crowded")
+    if not crowded.isEmpty():
+        near = near.unionByName(materialize(crowded_links(named, crowded, near), "joined")).distinct()
+    return texts.select(F.col("id").alias("first")).distinct(), near
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from quillmill.llm import near_copies
 
-from .helpers import ODD, SF, documents, driver_rows
+from .helpers import LONG, ODD, SF, documents, driver_rows
 
 
 def sets_of(rows):
@@ -75,6 +75,33 @@ def test_a_large_group_of_near_copies_is_one(spark):
     assert near.count() < 400 * 60
 
 
+def test_groups_that_a_large_bucket_leaves_apart_are_joined(spark, monkeypatch):
+    rnd = random.Random(13)
+    rows, ids = [], rnd.sample(range(10**6), 700)
+    for f in range(10):
+        # each text changes its forerunner a little, so that only neighbours in the chain are alike
+        now = [f"f{f}w{k}" for k in range(120)]
+        for i in ids[70 * f : 70 * f + 70]:
+            now[rnd.randrange(120)] = f"x{i}"
+            rows.append((i, " ".join(now)))
+    rnd.shuffle(rows)
+    # two more chains in the largest group's bucket, and a text so long that its block has no other
+    rows += [(10**6 + 1, LONG), (10**6 + 2, LONG + " end")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    crowded = spark.createDataFrame([(b, i, len(t.split()) - 4) for i, t in rows for b in (1, 2)], "bucket long, id long, n long")
+    known = [(min(p), max(p)) for p in sorted(similar_pairs(rows)) if sum(p) % 3]
+    monkeypatch.setattr(near_copies, "BLOCK", 64)
+    for near in (known, []):
+        got = near_copies.crowded_links(docs, crowded, spark.createDataFrame(near, "a long, b long"))
+        found = {(r.a, r.b) for r in got.collect()}
+        assert found <= similar_pairs(rows)
+        group = {i: i for i, _ in rows}
+        for a, b in [*found, *near]:
+            old, new = sorted((group[a], group[b]), reverse=True)
+            group = {i: new if g == old else g for i, g in group.items()}
+        assert {i for i, g in group.items() if i == g} == brute(rows)
+
+
 def test_odd_rows_keep_their_columns(spark):
     docs = documents(spark, [*ODD, (7, "A b  C")]).selectExpr("*", "1 as id", "2 as n", "'k' as keys")
     got = stage(spark, docs)
