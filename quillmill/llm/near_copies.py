@@ -37,6 +37,8 @@ BANDS, ROWS = 28, 5
 SMALL, BLOCK, NEAR = 32, 256, 2
 #: Shingles that are worked on together, and those of a block of a large bucket, unless one text has more.
 CHUNK, BLOCK_SHINGLES = 20_000, 500_000
+#: Parts that the rows of a large bucket are dealt into for joins by bucket.
+PARTS = 32
 _FACTORS = multipliers(BANDS * ROWS)
 
 
@@ -131,6 +133,12 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def by_bucket(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """rows (bucket, id and others) with the columns of large, which has one row for each large bucket: copied for each part, so that a bucket's rows don't meet in one task."""
+    parts = large.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).join(parts, ["bucket", "_part"]).drop("_part")
+
+
 def hashed_sets(docs: DataFrame) -> DataFrame:
     """id and hashes, the different hashes of the text's shingles as bytes, for every row (id, text)."""
 
@@ -187,7 +195,7 @@ def crowded_links(docs: DataFrame, crowded: DataFrame, near: DataFrame) -> DataF
         return F.ceil(F.greatest(F.expr(texts) / BLOCK, F.expr(shingles) / BLOCK_SHINGLES)).cast("int")
 
     cut = buckets.select("bucket", "top.root", blocks("texts - top.texts", "shingles - top.shingles").alias("rest"), blocks("top.texts", "top.shingles").alias("main"))
-    mixed = materialize(placed.join(cut.withColumnRenamed("root", "top"), "bucket"), "mixed")
+    mixed = materialize(by_bucket(placed, cut.withColumnRenamed("root", "top")), "mixed")
     held = materialize(docs.join(mixed.select("id").distinct(), "id", "left_semi").distinct(), "mixed-texts")
     small, spread = F.col("root") != F.col("top"), F.xxhash64("id", "bucket")
     routed = mixed.withColumn("own", F.when(small, F.pmod(spread, "rest")).otherwise(F.col("rest") + F.pmod(spread, "main")).cast("int"))
@@ -224,7 +232,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = materialize(named.join(wanted, "id", "left_semi").distinct(), "candidate-texts")
     near = materialize(checked(pairs, held), "near")
     large = members.groupBy("bucket").count().filter(F.col("count") > SMALL).select("bucket")
-    crowded = materialize(members.join(large, "bucket"), "crowded")
+    crowded = materialize(by_bucket(members, large), "crowded")
     if not crowded.isEmpty():
         near = near.unionByName(materialize(crowded_links(named, crowded, near), "joined")).distinct()
     return texts.select(F.col("id").alias("first")).distinct(), near
