@@ -221,7 +221,7 @@ def crowded_links(docs: DataFrame, crowded: DataFrame, near: DataFrame) -> DataF
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """first, the least doc_id of each distinct text, and a, b, links between those whose texts are similar, that connect all that are and share a bucket or near fingerprints."""
+    """first, the least doc_id of each distinct text, and a, b, links between those whose texts are similar, that connect all that are and share a bucket."""
     rows = materialize(signatures(docs), "signatures")
     least = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "fp", "keys")).alias("s"))
     texts = materialize(least.select("s.doc_id", "s.n", "s.fp", "s.keys").withColumnRenamed("doc_id", "id"), "distinct")
