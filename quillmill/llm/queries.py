@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, line_chunks, quality, secrets, sharding, simhash, sp_tokens, substring_dedup, warc
+from . import centroids, decontamination, langid, line_chunks, quality, secrets, sharding, simhash, sp_tokens, substring_dedup, warc
 from .common import table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -50,6 +50,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_tokens.encode_documents(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -58,7 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_secrets, op3_line_chunks, op4_substring_dedup, op5_warc, op6_quality, op7_simhash, op8_decontamination, op9_langid, op10_sentencepiece, pipeline)
+    for f in (op1_sharding, op2_secrets, op3_line_chunks, op4_substring_dedup, op5_warc, op6_quality, op7_simhash, op8_decontamination, op9_langid, op10_sentencepiece, op11_centroids, pipeline)
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -76,7 +80,26 @@ _SECRETS = [
 _MARKED = "\nUNION ALL ".join(f"SELECT doc_id, {k} AS rank, '{kind}' AS kind, string_split(regexp_replace(text, '{rx}', chr(1) || '\\0' || chr(2), 'g'), chr(2)) AS p FROM t" for k, (kind, rx, _) in enumerate(_SECRETS))
 _KEPT = " OR ".join(f"(kind = '{kind}' AND {ok})" for kind, _, ok in _SECRETS)
 
+
+
+def _round(n: int) -> str:
+    """Every vector to its nearest centroid, and the centroids from those."""
+    return f"""
+a{n} AS (SELECT r, min(list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]))) * 16 + c) AS x FROM q, c{n} c GROUP BY r),
+s{n} AS (SELECT x % 16 AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{n} JOIN q USING (r), range(1, 65) t(i) GROUP BY ALL),
+m{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{n} GROUP BY c),
+c{n + 1} AS (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN m{n} m ON m.c = c.c),"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_centroids": f"""
+WITH q AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT v, sha256('1:' || vec_id) AS h FROM q ORDER BY h LIMIT 16)),{_round(0)}{_round(1)}{_round(2)}{_round(3)}
+z AS (SELECT vec_id, (x % 16)::INTEGER AS cluster, (x // 16)::BIGINT AS distance FROM a3 JOIN q USING (r))
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM z JOIN c3 ON c3.c = z.cluster
+""",
     # matches are marked in the text, which is cut at the marks: lengths of the parts are their places
     "op2_secrets": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
