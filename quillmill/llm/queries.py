@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontamination, langid, line_chunks, quality, secrets, sharding, simhash, sp_tokens, substring_dedup, warc
+from . import centroids, decontamination, jaccard_join, langid, lexical_search, line_chunks, quality, secrets, sharding, simhash, sp_tokens, substring_dedup, warc
 from .common import table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -54,6 +54,14 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -62,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_secrets, op3_line_chunks, op4_substring_dedup, op5_warc, op6_quality, op7_simhash, op8_decontamination, op9_langid, op10_sentencepiece, op11_centroids, pipeline)
+    for f in (op1_sharding, op2_secrets, op3_line_chunks, op4_substring_dedup, op5_warc, op6_quality, op7_simhash, op8_decontamination, op9_langid, op10_sentencepiece, op11_centroids, op12_lexical_search, op13_jaccard_join, pipeline)
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -81,6 +89,8 @@ _MARKED = "\nUNION ALL ".join(f"SELECT doc_id, {k} AS rank, '{kind}' AS kind, st
 _KEPT = " OR ".join(f"(kind = '{kind}' AND {ok})" for kind, _, ok in _SECRETS)
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 
 def _round(n: int) -> str:
     """Every vector to its nearest centroid, and the centroids from those."""
@@ -99,6 +109,16 @@ c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT v, sha256(
 z AS (SELECT vec_id, (x % 16)::INTEGER AS cluster, (x // 16)::BIGINT AS distance FROM a3 JOIN q USING (r))
 SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
 FROM z JOIN c3 ON c3.c = z.cluster
+""",
+    "op12_lexical_search": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS ts FROM documents),
+g AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, sum(len(ts))::BIGINT AS terms FROM d),
+i AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+p AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY t),
+x AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ts) * docs) // terms))) AS impact FROM p JOIN w USING (t) JOIN d USING (r), g),
+s AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM x JOIN i USING (t) JOIN d USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
 """,
     # matches are marked in the text, which is cut at the marks: lengths of the parts are their places
     "op2_secrets": rf"""
