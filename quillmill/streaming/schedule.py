@@ -24,8 +24,6 @@ from quillmill.operators.frontier import DAILY_QUOTA, FREQUENCY_S
 MINUTE = 60_000_000
 DAY = 24 * 60 * MINUTE
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A crawler that hasn't come for so long, by the wall clock, is forgotten; longer than a stream may stand still.
-FORGET_MS = 90 * 86_400_000
 STOPPED, RUNNING, PAUSED, SITE_STOPPED = 0, 1, 2, -1
 
 
@@ -40,7 +38,7 @@ def started(stream: DataFrame, path: str, checkpoint: str, partition: str | None
 class FrequencyGate(StatefulProcessor):
     """One long a crawler: from when on the next visit is let through."""
 
-    def __init__(self, frequency: int, forget_ms: int, columns: list[str]) -> None:
+    def __init__(self, frequency: int, forget_ms: int | None, columns: list[str]) -> None:
         self.gap, self.forget_ms, self.row = frequency * 1_000_000, forget_ms, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -59,15 +57,17 @@ class FrequencyGate(StatefulProcessor):
         pass
 
 
-def frequency_gate(visits: DataFrame, frequency: int = FREQUENCY_S, forget_ms: int = FORGET_MS) -> DataFrame:
+def frequency_gate(visits: DataFrame, frequency: int = FREQUENCY_S, forget_ms: int | None = None) -> DataFrame:
     """The visits (crawler_id, ts and more) of a stream that are at least `frequency` seconds after the last one let through.
 
     Over a log whose batches follow each other in time the rows are those of `frontier.frequency_gate`.
-    A null ts never passes; null crawler_ids are one crawler.
+    A null ts never passes; null crawler_ids are one crawler. With forget_ms a crawler that hasn't been let
+    through for so long, by the wall clock, is forgotten; that must be longer than a stream may stand still,
+    and such a stream runs on a periodic trigger: as its clock ticks on, it never comes to an end by itself.
     """
     schema = visits.schema
     timed = visits.filter(F.col("ts").isNotNull()).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return timed.groupBy("crawler_id").transformWithState(FrequencyGate(frequency, forget_ms, visits.columns), schema, "append", "ProcessingTime")
+    return timed.groupBy("crawler_id").transformWithState(FrequencyGate(frequency, forget_ms, visits.columns), schema, "append", "None" if forget_ms is None else "ProcessingTime")
 
 
 class CrawlerPool(StatefulProcessor):
