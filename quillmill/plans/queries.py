@@ -391,6 +391,14 @@ def crawler_pattern_match(spark, sf_dir):
     return P.match_crawler(links, D.url_patterns(spark, sf_dir))
 
 
+@query(f"""WITH {_PAT}, s AS (SELECT pattern_id, website, regexp_replace(website, '^www\\.', '') AS bare, pattern FROM pat)
+SELECT pattern_id, scheme || www || bare || CASE WHEN pattern LIKE '%(en|fr)%' THEN part ELSE '/' END AS start
+FROM s, (VALUES ('http://'), ('https://')) a(scheme), (VALUES (''), ('www.')) b(www), (VALUES ('/en/'), ('/fr/')) c(part) WHERE pattern LIKE '%(en|fr)%' OR part = '/en/'""")
+def pattern_starts(spark, sf_dir):
+    """How a match of each pattern begins, as read off its expression."""
+    return P.with_starts(D.url_patterns(spark, sf_dir)).select("pattern_id", F.explode("_starts").alias("start"))
+
+
 @query(f"""WITH {_PAT}, c(crawler_id, d) AS (VALUES (1, 2), (2, NULL)) SELECT pattern_id, d IS NULL OR d = pattern_id AS is_default FROM pat LEFT JOIN c USING (crawler_id)""")
 def default_flags(spark, sf_dir):
     crawlers = spark.createDataFrame([(1, 2), (2, None)], "crawler_id int, default_url_pattern int")
