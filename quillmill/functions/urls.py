@@ -11,7 +11,13 @@ from pyspark.sql.types import StringType
 
 #: A URL in text: what the characters of a URL can be, without nested repetition, so that long matches need no stack.
 ABSOLUTE_URL = r"(https?://[!$-_a-z]+)"
-ANCHOR_HREF = r"""<a href="?'?([^"'>]*)"""
+#: An anchor's target, wherever it stands among its attributes: in quotes of either kind, or without.
+ANCHOR_TARGET = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def anchor_targets(html: Column) -> Column:
+    """The targets of the anchors in HTML, as they are written, in order."""
+    return F.transform(F.regexp_extract_all(html, F.lit(ANCHOR_TARGET), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
 
 
 def host(url: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 from quillmill.functions import urls
+from quillmill.functions.dates import dates_in
 
 # Elements whose own text shows.
 VISIBLE = frozenset((
@@ -206,20 +207,8 @@ def main_text(root: Node) -> str:
     return " ".join(t for t, _ in text_pieces(article)[0])
 
 
-#: Families of dates in text; each is tried on the whole HTML.
-_MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
-_WEEKDAY = r"(?:mon|tues?|wednes|wed|thurs?|fri|satur|sat|sun)(?:day)?"
-DATE_FORMS = [
-    rf"(?i)\b({_MONTH} [0-3]?[0-9](?:st|nd|rd|th)?,?(?: [0-2][0-9]{{3}})?)\b",
-    r"\b((?:0?[1-9]|1[0-2])[-/](?:[012]?[0-9]|3[01])[-/][12]?[0-9]?[0-9][0-9])\b",
-    rf"(?i)\b((?:{_WEEKDAY},? )?the [0-3]?[0-9](?:st|nd|rd|th)?,?(?: of)? {_MONTH},?(?: [0-2][0-9]{{3}})?)\b",
-    rf"(?i)\b({_WEEKDAY} (?:the )?[0-3]?[0-9](?:st|nd|rd|th)?)\b",
-]
-
-
-def date_of(html: str, root: Node, now: datetime, fuzzy: bool = True) -> datetime | None:
-    """The latest past date of the page's time elements; without any, of the dates that its text seems to give."""
-    import re
+def date_of(root: Node, now: datetime, fuzzy: bool = True) -> datetime | None:
+    """The latest past date of the page's time elements; without any, of the dates in its text."""
 
     def read(x: str) -> datetime | None:
         try:
@@ -230,8 +219,7 @@ def date_of(html: str, root: Node, now: datetime, fuzzy: bool = True) -> datetim
     times = [n.attrs.get("datetime") or "".join(s for s, _ in n.strings()) for n in root.nodes() if n.tag == "time"]
     past = [d for d in map(read, times) if d is not None and d < now]
     if not past and fuzzy:
-        found = {m for form in DATE_FORMS for m in re.findall(form, html)}
-        past = [d for d in map(read, found) if d is not None and d <= now]
+        past = [d for d in dates_in(" ".join(s for s, _ in root.strings()), now) if d <= now]
     return max(past, default=None)
 
 
@@ -289,7 +277,7 @@ def scrape(pages: DataFrame, name: str | None = None, now: datetime | None = Non
         links = links_of(root, url or "") if with_links else []
         kind_of = " ".join(meta.get("content-type", [])).lower()
         charset = kind_of.split("charset=", 1)[1].strip() if "charset=" in kind_of else "utf-8"
-        return url, kind, title, text, marks, links, list(meta.items()), meta.get("keywords", []), date_of(flat, root, clock, fuzzy_date), charset, None if text else "no text"
+        return url, kind, title, text, marks, links, list(meta.items()), meta.get("keywords", []), date_of(root, clock, fuzzy_date), charset, None if text else "no text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +293,7 @@ def scrape(pages: DataFrame, name: str | None = None, now: datetime | None = Non
 
 def link_column(url: Column, html: Column) -> Column:
     """Absolute URLs in the HTML and targets of its anchors, made absolute where built-ins can, without fragments, distinct, sorted."""
-    anchors = F.transform(F.regexp_extract_all(html, F.lit(urls.ANCHOR_HREF), F.lit(1)), lambda h: urls.join_simple(url, h))
+    anchors = F.transform(urls.anchor_targets(html), lambda h: urls.join_simple(url, h))
     found = F.concat(F.regexp_extract_all(html, F.lit(urls.ABSOLUTE_URL), F.lit(1)), anchors)
     return F.array_sort(F.array_distinct(F.transform(found, urls.without_fragment)))
 

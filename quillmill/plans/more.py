@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 from quillmill.functions import urls
+from quillmill.functions.dates import latest_date
 from quillmill.operators import checks as C
 from quillmill.operators import entities as E
 from quillmill.operators import frontier as R
@@ -98,6 +99,18 @@ def page_date(spark, sf_dir):
     return H.scrape(pages, "BSoup", now=datetime(2024, 1, 20), fuzzy_date=False).select("url", F.col("date").cast("timestamp_ntz").alias("date"))
 
 
+@query("SELECT o_orderkey, o_orderdate::DATE AS date FROM orders")
+def text_dates(spark, sf_dir):
+    """The date that a note on each order gives in words or numbers, among a later one and numbers that are none."""
+    d = F.col("o_orderdate").cast("date")
+    day, month, year = F.dayofmonth(d).cast("string"), F.date_format(d, "MMMM"), F.year(d).cast("string")
+    ending = F.when(F.dayofmonth(d).isin(11, 12, 13), "th").otherwise(F.element_at(F.array(*map(F.lit, ["th", "st", "nd", "rd", "th", "th", "th", "th", "th", "th"])), F.dayofmonth(d) % 10 + 1))
+    forms = [F.concat(month, F.lit(" "), day, ending, F.lit(", "), year), F.concat(F.lit("the "), day, ending, F.lit(" of "), month, F.lit(" "), year), F.date_format(d, "MM/dd/yyyy"), F.date_format(d, "yyyy-MM-dd"), F.concat(day, F.lit(". "), F.date_format(d, "MMM"), F.lit(" "), year)]
+    said = F.element_at(F.array(*forms), F.col("o_orderkey").cast("int") % len(forms) + 1)
+    note = F.concat(F.lit("No. 12/400 of 1234567, sold "), said, F.lit("; due 2 January 2031."))
+    return D.read(spark, sf_dir, "orders").select("o_orderkey", latest_date(note, datetime(2024, 6, 1)).alias("date"))
+
+
 @query(_with(_DOM, "SELECT url, piece FROM texts WHERE pos = 0 AND contains(piece, ' ')"))
 def kept_highlights(spark, sf_dir):
     """The first text of each page as a highlight of its own texts: it stays where one of them holds it."""

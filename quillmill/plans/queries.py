@@ -330,7 +330,7 @@ def page_host(spark, sf_dir):
     return D.page_sites(spark, sf_dir)
 
 
-@query("""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '<a href="?''?([^"''>]*)', 1), lambda h: string_split(
+@query(r"""SELECT page_id, unnest(list_distinct(list_transform(list_transform(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda x: regexp_replace(x, '^["'']|["'']$', '', 'g')), lambda h: string_split(
 CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h
      WHEN starts_with(h, '/') AND NOT starts_with(h, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || h
      WHEN starts_with(h, '#') THEN string_split(url, '#')[1] || h
