@@ -14,12 +14,12 @@ few of them. Nodes are kept sparsely, in hash tables over runs of bytes, for all
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +33,8 @@ DOCS_PER_LANGUAGE = 400
 UNDETERMINED = "und"
 #: Bytes that are worked on together.
 PIECE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+#: A character of one of Unicode's letter categories; numbers such as a half or a raised two are none.
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 

@@ -1,3 +1,7 @@
+import numpy as np
+
+from quillmill.llm import langid
+
 from .test_langid import brute_bits, model_of, tree_of
 
 
@@ -12,3 +16,11 @@ def test_all_byte_values_have_statistics():
             want = brute_bits(trees[lang], probe)
             assert abs(bits - want) < 1e-3 * max(1, want), (lang, probe)
     assert all(model.predict(s)[0] == k for k, s in scripts.items())
+
+
+def test_numbers_are_no_letters():
+    model = langid.PPM.learn({k: np.unique(langid.grams(langid.text_bytes(t)), return_counts=True) for k, t in {"x": "one text", "y": "und mehr"}.items()})
+    for text in ("½", "² ③", "Ⅷ", "_ 12", "٣", "\u0301", "🙂"):
+        assert model.predict(text) == (langid.UNDETERMINED, 0.0)
+    for text in ("ª", "你", "½ a", "ʰ", "ñ"):
+        assert model.predict(text)[0] in ("x", "y")
