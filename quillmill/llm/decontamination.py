@@ -338,15 +338,16 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     """The rows of docs, with all their columns, that contain no item.
 
     Each row is judged by its own whole text, with or without a doc_id; a null or empty text, and
-    a repeated row, stays or goes by that alone. Empty tables change nothing.
+    a repeated row, stays or goes by that alone. A very long text is searched whole, in one task.
+    Columns may have any names. Empty tables change nothing.
     """
     benchmark = benchmark.select("item_id", "text")
     index = small_index(benchmark, rows, size)
     if index is None:
-        # texts are named by a hash and their length, so that rows without an id can be told apart
-        named = docs.withColumn("_quillmill_h", F.xxhash64("text", F.octet_length("text")))
-        found = joined_leaks(docs.filter("text IS NOT NULL").select(F.xxhash64("text", F.octet_length("text")).alias("doc_id"), "text").dropDuplicates(["doc_id"]), benchmark, threshold)
-        return named.join(found.select(F.col("doc_id").alias("_quillmill_h")).distinct(), "_quillmill_h", "left_anti").drop("_quillmill_h").select(docs.columns)
+        # rows get a number of their own, fixed by writing them, so that those without an id can be told apart
+        named = materialize(docs.withColumn("_quillmill_row", F.monotonically_increasing_id()), "numbered")
+        found = joined_leaks(named.select(F.col("_quillmill_row").alias("doc_id"), "text"), benchmark, threshold)
+        return named.join(found.select(F.col("doc_id").alias("_quillmill_row")).distinct(), "_quillmill_row", "left_anti").select(docs.columns)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
