@@ -23,7 +23,7 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"))
+    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"), line_words=13, run_words=25)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
