@@ -14,6 +14,7 @@ from quillmill.operators import entities as E
 from quillmill.operators import frontier as R
 from quillmill.operators import html as H
 from quillmill.operators import mutations as M
+from quillmill.operators import names as N
 from quillmill.operators import patterns as P
 from quillmill.operators import reports as W
 from quillmill.operators import rollup as U
@@ -110,6 +111,30 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+#: Names found by comparing every run of words with the names, then taken from the left, the longest first.
+_NAMES = _with(
+    _SENT
+    + ","
+    + _GAZ
+    + r""",
+tk AS (SELECT page_key, sentence_idx, is_title, regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+') AS w FROM sents),
+nm AS (SELECT DISTINCT array_to_string(w, ' ') AS name, len(w) AS n FROM (SELECT regexp_extract_all(lower(name), '[\p{L}\p{N}]+') AS w FROM gaz) WHERE len(w) > 0),
+placed AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM tk),
+run AS (SELECT page_key, sentence_idx, is_title, i, k.n, array_to_string(w[i:i + k.n - 1], ' ') AS name FROM placed, (SELECT DISTINCT n FROM nm) k WHERE i + k.n - 1 <= len(w)),
+hit AS (SELECT page_key, sentence_idx, is_title, list(struct_pack(s := i, n := n, name := name) ORDER BY i, n DESC) AS m FROM run JOIN nm USING (name, n) GROUP BY ALL),
+kept AS (SELECT page_key, unnest(list_reduce(list_transform(m, lambda x: [x]), lambda a, x: CASE WHEN x[1].s >= a[-1].s + a[-1].n THEN list_concat(a, x) ELSE a END)) AS x FROM hit)""",
+    "SELECT page_key, x.name AS name, count(*) AS n FROM kept GROUP BY ALL",
+)
+
+
+@query(_NAMES)
+def gazetteer_matches(spark, sf_dir):
+    """Names of the gazetteer, of one word or several and in any case, in the documents' sentences and titles."""
+    sents = E.sentence_table(D.document_pages(spark, sf_dir)).select("page_key", "sentence_idx", "sentence")
+    found = N.matches(sents, D.gazetteer(spark, sf_dir).select("name"))
+    return found.groupBy("page_key", "name").agg(F.count("*").alias("n"))
+
+
 # Sentiment
 
 
