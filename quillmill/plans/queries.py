@@ -19,8 +19,8 @@ from quillmill.operators import patterns as P
 from quillmill.operators import reports as W
 from quillmill.operators import rollup as U
 from quillmill.sources import gazetteer as G
-from quillmill.sources import web
-from quillmill.storage import materialize
+from quillmill.sources import report_sink, web
+from quillmill.storage import materialize, new_path
 
 from . import tables as D
 
@@ -199,7 +199,12 @@ def gazetteer(spark, sf_dir):
     return D.gazetteer(spark, sf_dir)
 
 
-@query(_with(_MENT, "SELECT page_key, site, sentence_idx, is_title, surface, name, category, is_entity FROM ments"))
+_FOUND = _SENT + "," + _GAZ + r""",
+found AS (SELECT page_key, site, sentence_idx, is_title, unnest(regexp_extract_all(sentence, '""" + _CAND + r"""', 1)) AS surface FROM sents)"""
+
+
+@query(_with(_FOUND, """SELECT page_key, site, sentence_idx, is_title, surface, g.name, category, g.name IS NOT NULL AS is_entity
+FROM found LEFT JOIN (SELECT * FROM gaz WHERE NOT disabled) g ON g._name = lower(surface) WHERE length(surface) >= 2"""))
 def gazetteer_resolve(spark, sf_dir):
     return E.mentions(_resolved(spark, sf_dir))
 
@@ -329,6 +334,18 @@ def report_text(spark, sf_dir):
     return W.report_lines(W.report_order(_report(spark, sf_dir)))
 
 
+@query(_with(_MENT + "," + _REPORT_WORDS + """,
+head AS (SELECT ['Site report for:', 'src1', '', 'Total include words:', (SELECT count(*) FROM words)::VARCHAR, '', 'Total exclude words:', '0', '', 'Total URLs scanned:', count(*)::VARCHAR, '', 'Total URLs matched:', (count(*) FILTER (source = 'src1'))::VARCHAR, '', 'Word, Sentiment, count'] AS h FROM documents WHERE text IS NOT NULL)""",
+"""SELECT unnest(range(0, 16)) AS pos, unnest(h) AS line FROM head UNION ALL
+SELECT 15 + row_number() OVER (ORDER BY entity DESC, sentiment), concat_ws('|', entity, sentiment, "count"::VARCHAR) FROM report"""))
+def report_file(spark, sf_dir):
+    """The report as a file with a header, written in ranges by several tasks, and read back line by line."""
+    words, path = _words(*_extracted(spark, sf_dir)), new_path(spark, "report")
+    scanned, matched = W.scan_counts(D.document_pages(spark, sf_dir), "src1")
+    report_sink.write_report(_report(spark, sf_dir), W.report_header("src1", words.count(), 0, scanned, matched), path)
+    return report_sink.read_report(spark, path)
+
+
 @query(_with(_MENT + "," + _REPORT_WORDS, "SELECT word FROM words"))
 def word_filter(spark, sf_dir):
     return _words(*_extracted(spark, sf_dir))
