@@ -22,7 +22,7 @@ from quillmill.storage import materialize, new_path
 from quillmill.streaming import jobs
 
 from . import tables as D
-from .queries import _HOST, _KIND, _MENT, _PAT, LEXICON, _parsed, _resolved, _scored_mentions, _with, query
+from .queries import _GAZ, _HOST, _KIND, _MENT, _PAT, LEXICON, _parsed, _resolved, _scored_mentions, _with, query
 
 # Scraping: the pages' tags and texts, by expressions alone
 
@@ -90,10 +90,10 @@ def page_meta(spark, sf_dir):
     return rows.select("url", F.explode("metadata").alias("key", "value")).select("url", "key", F.array_join("value", "|").alias("value"))
 
 
-@query("""SELECT 'http://u/' || user_id AS url, max(ts) FILTER (ts < TIMESTAMP '2024-01-20 00:00:00') AS date FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events WHERE event_id % 10 = 0) GROUP BY user_id""")
+@query("""SELECT 'http://u/' || user_id AS url, max(ts) FILTER (ts < TIMESTAMP '2024-01-20 00:00:00') AS date FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY user_id""")
 def page_date(spark, sf_dir):
-    """The latest of a page's times that lies before now; pages list a part of a user's events."""
-    seen = D.read(spark, sf_dir, "events").filter("event_id % 10 = 0").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    """The latest of a page's times that lies before now; pages list a user's events."""
+    seen = D.read(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
     times = F.concat(F.lit('<time datetime="'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('">x</time>'))
     pages = seen.groupBy(F.concat(F.lit("http://u/"), F.col("user_id").cast("string")).alias("url")).agg(F.array_join(F.sort_array(F.collect_list(times)), "").alias("html"))
     return H.scrape(pages, "BSoup", now=datetime(2024, 1, 20), fuzzy_date=False).select("url", F.col("date").cast("timestamp_ntz").alias("date"))
@@ -145,10 +145,10 @@ def extract_rejects(spark, sf_dir):
     return E.extract(pages, D.gazetteer(spark, sf_dir), LEXICON)[1]
 
 
-@query(_with(_MENT, """SELECT d.doc_id AS page_key, g.name, g.category FROM documents d JOIN gaz g ON NOT g.disabled AND g._name IN (SELECT lower(string_split(text, ' ')[i]) FROM range(1, 21) r(i))"""))
+@query(_with(_GAZ, """SELECT DISTINCT page_key, g.name, g.category FROM (SELECT doc_id AS page_key, lower(unnest(string_split(text, ' '))) AS k FROM documents) JOIN gaz g ON g._name = k WHERE NOT g.disabled"""))
 def keyword_entities(spark, sf_dir):
-    """The first twenty words of a text as its keywords; known ones become entities."""
-    docs = D.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_key"), F.col("source").alias("site"), F.slice(F.split("text", " "), 1, 20).alias("keywords"))
+    """The words of a text as its keywords; known ones become entities."""
+    docs = D.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_key"), F.col("source").alias("site"), F.split("text", " ").alias("keywords"))
     return E.keyword_entities(docs, D.gazetteer(spark, sf_dir)).select("page_key", "name", "category")
 
 
@@ -282,11 +282,11 @@ def _reads_english(x: str) -> str:
     return " AND ".join(f"{votes[0]} >= {v}" for v in votes[1:])
 
 
-_TITLE = "substr(string_split(text, chr(10))[1], 1, 60)"
+_TITLE = "string_split(text, chr(10))[1]"
 
 
 def _titles(spark, sf_dir):
-    return D.read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring(F.split("text", "\n")[0], 1, 60).alias("name"))
+    return D.read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.split("text", "\n")[0].alias("name"))
 
 
 @query(f"SELECT {_TITLE} AS name FROM documents WHERE lang = 'en' AND {_reads_english(_TITLE)}")
@@ -316,20 +316,23 @@ def names_by_letter(spark, sf_dir):
     return G.names_by_letter(part.select("letter", F.col("p_name").alias("name")), works, english=False)
 
 
-@query("SELECT n_name AS name FROM nation WHERE n_nationkey < 17")
+@query("SELECT s_name AS name FROM supplier")
 def listing_names(spark, sf_dir):
-    """A listing of a page for each nation; the link to the next page is missing on the seventeenth."""
-    link = F.when(F.col("n_nationkey") != 16, F.concat(F.lit('<a class="n" href="p'), (F.col("n_nationkey") + 1).cast("string"), F.lit('"> Next &raquo;</a>'))).otherwise("")
-    html = F.concat(F.lit('<table><tr><td class="name">'), F.col("n_name"), F.lit("</td><td>x</td></tr></table>"), link)
-    pages = D.read(spark, sf_dir, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("url"), html.alias("html"))
-    return G.table_names(G.listing_pages(pages, spark.createDataFrame([("p0",)], "url string")), "name")
+    """A listing of a page for each supplier, in the order of their keys; the last has no link to a next one."""
+    rows = D.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
+    least, last = rows.agg(F.min("k"), F.max("k")).first()
+    link = F.when(F.col("k") != last, F.concat(F.lit('<a class="n" href="p'), (F.col("k") + 1).cast("string"), F.lit('"> Next &raquo;</a>'))).otherwise("")
+    html = F.concat(F.lit('<table><tr><td class="name">'), F.col("s_name"), F.lit("</td><td>x</td></tr></table>"), link)
+    pages = rows.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("url"), html.alias("html"))
+    return G.table_names(G.listing_pages(pages, spark.createDataFrame([(f"p{least}",)], "url string")), "name")
 
 
-@query("SELECT c_name AS name FROM customer WHERE c_custkey // 10 <= 9 AND c_custkey % 4 <> 0")
+@query("SELECT c_name AS name FROM customer WHERE c_custkey % 4 <> 0")
 def cursor_names(spark, sf_dir):
     """Answers of ten names, each with the cursor of the next, until there is none; some names are null."""
     rows = D.read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 10).cast("long").alias("k"), F.struct(F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("name")).alias("r"))
-    answers = rows.groupBy("k").agg(F.collect_list("r").alias("result")).select(F.when(F.col("k") == 0, "").otherwise(F.col("k").cast("string")).alias("cursor"), F.when(F.col("k") != 9, (F.col("k") + 1).cast("string")).alias("next_cursor"), "result")
+    last = rows.agg(F.max("k")).first()[0]
+    answers = rows.groupBy("k").agg(F.collect_list("r").alias("result")).select(F.when(F.col("k") == 0, "").otherwise(F.col("k").cast("string")).alias("cursor"), F.when(F.col("k") != last, (F.col("k") + 1).cast("string")).alias("next_cursor"), "result")
     return G.cursor_names(answers)
 
 
@@ -454,16 +457,16 @@ def saved_pages(spark, sf_dir):
     return table.read()
 
 
-@query("SELECT 'u' || user_id AS url FROM events WHERE event_id % 3 < 2")
+@query("SELECT 'u' || user_id AS url FROM events")
 def queued_urls(spark, sf_dir):
-    """The crawl step's URL queue after two batches, of which the second ran twice."""
+    """The crawl step's URL queue after three batches, of which the last ran twice."""
     rows = D.read(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("crawled_at"))
     pages = jobs.Table(spark, new_path(spark, "pages"), spark.createDataFrame([], rows.schema), ["url"])
     ents = jobs.Table(spark, new_path(spark, "entities"), spark.createDataFrame([], "site string, name string, _name string, count long, sentiment double"), ["site", "name"])
     queue = new_path(spark, "queue")
     extract = lambda b: b.select(F.lit("s").alias("site"), F.col("url").alias("name"), F.col("crawled_at").alias("ord"), F.lit(1).cast("long").alias("count"), F.lit(0.5).alias("score"))
     step = jobs.save_job(pages, ents, queue, extract)
-    for batch, i in [*_batches(rows, "crawled_at", 3)[:2], _batches(rows, "crawled_at", 3)[1]]:
+    for batch, i in [*_batches(rows, "crawled_at", 3), _batches(rows, "crawled_at", 3)[2]]:
         step(batch, i)
     return spark.read.schema("url string").parquet(queue).select("url")
 
