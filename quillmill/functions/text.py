@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from dateutil import parser as dates
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, TimestampType
+from pyspark.sql.types import TimestampType
+
+from quillmill.functions.mojibake import fix_text, repair  # noqa: F401
 
 # Words after which a full stop doesn't end a sentence.
 ABBREVIATIONS = ("dr", "vs", "mr", "mrs", "prof", "inc")
@@ -88,20 +88,6 @@ def fuzzy_date(text: pd.Series) -> pd.Series:
     return pd.to_datetime(pd.Series([one(x) for x in text], dtype="object"), errors="coerce")
 
 
-def repair(text: str) -> str:
-    """UTF-8 that was read as Windows-1252 is read again as UTF-8; then composed form."""
-    try:
-        fixed = text.encode("cp1252").decode("utf-8")
-    except (UnicodeEncodeError, UnicodeDecodeError):
-        fixed = text
-    return unicodedata.normalize("NFC", fixed)
-
-
-@F.pandas_udf(StringType())
-def fix_text(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else repair(x))
-
-
 # Frequent words that tell a language.
 STOP_WORDS = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "for", "with", "on"),

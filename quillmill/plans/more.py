@@ -396,6 +396,17 @@ def fixed_text(spark, sf_dir):
     return docs.select("doc_id", T.fix_text(F.when(whole, odd).otherwise(F.col("text"))).alias("text"))
 
 
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def fixed_layers(spark, sf_dir):
+    """Texts of which every second line was misread, every fourth twice, are read right again."""
+
+    def misread(x):
+        return F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 3, misread(misread(x))).when(i % 2 == 1, misread(x)).otherwise(x))
+    return D.read(spark, sf_dir, "documents").select("doc_id", T.fix_text(F.array_join(lines, "\n")).alias("text"))
+
+
 @query("""SELECT page_id, unnest(['/a/c?x=1', '/a/b/g', '//h/z', '?q', '#f', 'http://o/p']) AS href, unnest([root || '/a/c?x=1', root || '/a/b/g', regexp_extract(root, '^([a-z]+:)', 1) || '//h/z', root || '/a/b/d?q', root || '/a/b/d#f', 'http://o/p']) AS link
 FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root FROM pages)""")
 def joined_links(spark, sf_dir):
