@@ -7,15 +7,18 @@ here as column expressions, which need no Python.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import UTC, datetime
+from functools import cached_property
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
 import pyarrow as pa
 from dateutil import parser as dateparser
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from quillmill.functions import text as T
 from quillmill.functions import urls
@@ -258,34 +261,93 @@ def scraper(name: str | None) -> tuple[str, Callable]:
 PAGE_DDL = "url string, parser string, title string, text array<string>, highlighted_strings array<string>, links array<string>, metadata map<string,array<string>>, keywords array<string>, date timestamp, charset string, reason string"
 
 
-def scrape(pages: DataFrame, name: str | None = None, now: datetime | None = None, with_links: bool = True, fuzzy_date: bool = True) -> DataFrame:
-    """A row for each page (url, html), scraped; reason says why a page has no text, and is null otherwise.
+_LISTED = pa.list_(pa.string())
+_TYPES = [pa.string(), pa.string(), pa.string(), _LISTED, _LISTED, _LISTED, pa.map_(pa.string(), _LISTED), _LISTED, pa.timestamp("us", tz="UTC"), pa.string(), pa.string()]
+FIELDS = dict(zip([f.split()[0] for f in PAGE_DDL.split(", ")], _TYPES, strict=True))
 
-    The clock is read once, for all rows, so that a task run again gives the same rows.
+
+class Page:
+    """A page of HTML; each of FIELDS is worked out when it is asked for, and not before."""
+
+    def __init__(self, url: str | None, html: str | None, kind: str, function: Callable, clock: datetime, with_links: bool = True, fuzzy_date: bool = True) -> None:
+        self.url, self.parser, self._function, self._clock, self._with_links, self._fuzzy = url, kind, function, clock, with_links, fuzzy_date
+        self._root = parse(" ".join((html or "").split()))
+
+    @cached_property
+    def _texts(self) -> tuple:
+        return self._function(self._root)
+
+    @cached_property
+    def _meta(self) -> dict:
+        return metadata_of(self._root)
+
+    text = property(lambda self: self._texts[0])
+    highlighted_strings = property(lambda self: self._texts[1])
+    title = property(lambda self: title_of(self._root))
+    links = property(lambda self: links_of(self._root, self.url or "") if self._with_links else [])
+    metadata = property(lambda self: list(self._meta.items()))
+    keywords = property(lambda self: self._meta.get("keywords", []))
+    date = property(lambda self: date_of(self._root, self._clock, self._fuzzy))
+    reason = property(lambda self: None if self.text else "no text")
+
+    @property
+    def charset(self) -> str:
+        kind_of = " ".join(self._meta.get("content-type", [])).lower()
+        return kind_of.split("charset=", 1)[1].strip() if "charset=" in kind_of else "utf-8"
+
+
+def page_ddl(fields: Sequence[str]) -> str:
+    """The schema of these fields, in this order."""
+    if unknown := [f for f in fields if f not in FIELDS]:
+        raise ValueError(f"no such fields of a page: {', '.join(unknown)}")
+    kinds = dict(x.split(" ", 1) for x in PAGE_DDL.split(", "))
+    return ", ".join(f"{f} {kinds[f]}" for f in fields)
+
+
+def scrape(pages: DataFrame, name: str | None = None, now: datetime | None = None, with_links: bool = True, fuzzy_date: bool = True, fields: Sequence[str] = tuple(FIELDS)) -> DataFrame:
+    """A row for each page (url, html), scraped, with these fields; reason says why a page has no text, and is null otherwise.
+
+    Only what the fields need is worked out. The clock is read once, for all rows, so that a task run
+    again gives the same rows.
     """
     kind, function = scraper(name)
     clock = now or datetime.now(UTC).replace(tzinfo=None)
-    listed = pa.list_(pa.string())
-    types = [pa.string(), pa.string(), pa.string(), listed, listed, listed, pa.map_(pa.string(), listed), listed, pa.timestamp("us", tz="UTC"), pa.string(), pa.string()]
-    names = [f.split()[0] for f in PAGE_DDL.split(", ")]
-
-    def one(url: str | None, html: str | None) -> tuple:
-        flat = " ".join((html or "").split())
-        root = parse(flat)
-        text, marks, title = function(root)
-        meta = metadata_of(root)
-        links = links_of(root, url or "") if with_links else []
-        kind_of = " ".join(meta.get("content-type", [])).lower()
-        charset = kind_of.split("charset=", 1)[1].strip() if "charset=" in kind_of else "utf-8"
-        return url, kind, title, text, marks, links, list(meta.items()), meta.get("keywords", []), date_of(root, clock, fuzzy_date), charset, None if text else "no text"
+    ddl, names = page_ddl(fields), list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(u, h) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            cols = zip(*rows, strict=True) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    return pages.select("url", "html").mapInArrow(run, PAGE_DDL)
+            cols: list[list] = [[] for _ in names]
+            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = Page(url, html, kind, function, clock, with_links, fuzzy_date)
+                for col, f in zip(cols, names, strict=True):
+                    col.append(getattr(page, f))
+            yield pa.RecordBatch.from_arrays([pa.array(c, FIELDS[f]) for c, f in zip(cols, names, strict=True)], names=names)
+
+    return pages.select("url", "html").mapInArrow(run, ddl)
+
+
+class ParsePage:
+    """The table function parse_page(html, url, fields): one row with the fields, a constant list of names separated by commas."""
+
+    @staticmethod
+    def analyze(html: AnalyzeArgument, url: AnalyzeArgument, fields: AnalyzeArgument) -> AnalyzeResult:
+        if not fields.isConstantExpression or not fields.value:
+            raise ValueError("parse_page: fields must be a constant text, such as 'title,links'")
+        names = [f.strip() for f in fields.value.split(",")]
+        page_ddl(names)
+        words = ArrayType(StringType())
+        kinds = {pa.string(): StringType(), _LISTED: words, pa.map_(pa.string(), _LISTED): MapType(StringType(), words), pa.timestamp("us", tz="UTC"): TimestampType()}
+        return AnalyzeResult(StructType([StructField(f, kinds[FIELDS[f]]) for f in names]))
+
+    def eval(self, html: str, url: str, fields: str) -> Iterator[tuple]:
+        page = Page(url, html, *scraper("BSoup"), datetime.now(UTC).replace(tzinfo=None))
+        values = [getattr(page, f.strip()) for f in fields.split(",")]
+        yield tuple(dict(v) if f.strip() == "metadata" else v for v, f in zip(values, fields.split(","), strict=True))
+
+
+def register_parse_page(spark: SparkSession, name: str = "parse_page") -> None:
+    """Makes parse_page known to SQL: SELECT url, t.* FROM pages, LATERAL parse_page(html, url, 'title,links') t."""
+    spark.udtf.register(name, F.udtf(ParsePage))
 
 
 # The same by column expressions, where they suffice

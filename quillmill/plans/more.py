@@ -50,19 +50,27 @@ def visible_text(spark, sf_dir):
 
 @query(_with(_DOM, "SELECT url, highlight FROM marks"))
 def highlights(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("url", F.explode("highlighted_strings").alias("highlight"))
+    return _parsed(spark, sf_dir, fields=("url", "highlighted_strings")).select("url", F.explode("highlighted_strings").alias("highlight"))
 
 
 @query(_with(_DOM, "SELECT url, link FROM hrefs"))
 def dom_links(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("url", F.explode("links").alias("link"))
+    return _parsed(spark, sf_dir, fields=("url", "links")).select("url", F.explode("links").alias("link"))
+
+
+@query(_with(_DOM, "SELECT s.url, s.title, coalesce(n, 0)::INT AS n_links FROM seen s LEFT JOIN (SELECT url, count(*) AS n FROM hrefs GROUP BY url) l ON l.url = s.url"))
+def parsed_pages(spark, sf_dir):
+    """Pages through SQL: a table function gives the fields that are asked for, and works out no others."""
+    H.register_parse_page(spark)
+    D.read(spark, sf_dir, "pages").select("url", "html").createOrReplaceTempView("quillmill_pages")
+    return spark.sql("SELECT url, t.title, size(t.links) AS n_links FROM quillmill_pages, LATERAL parse_page(html, url, 'title, links') t")
 
 
 @query(_with(_DOM, """SELECT s.url, 'BSoup' AS parser, s.title, coalesce(t.text, '') AS text, coalesce(m.n, 0)::INT AS n_highlights, coalesce(l.n, 0)::INT AS n_links, 'utf-8' AS charset, CASE WHEN t.text IS NULL THEN 'no text' END AS reason
 FROM seen s LEFT JOIN (SELECT url, string_agg(piece, chr(10) ORDER BY pos) AS text FROM texts GROUP BY url) t ON t.url = s.url
 LEFT JOIN (SELECT url, count(*) AS n FROM marks GROUP BY url) m ON m.url = s.url LEFT JOIN (SELECT url, count(*) AS n FROM hrefs GROUP BY url) l ON l.url = s.url"""))
 def scraped_pages(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("url", "parser", "title", F.array_join("text", "\n").alias("text"), F.size("highlighted_strings").alias("n_highlights"), F.size("links").alias("n_links"), "charset", "reason")
+    return _parsed(spark, sf_dir, fields=tuple(H.FIELDS)).select("url", "parser", "title", F.array_join("text", "\n").alias("text"), F.size("highlighted_strings").alias("n_highlights"), F.size("links").alias("n_links"), "charset", "reason")
 
 
 @query(_with(_DOM, "SELECT url, text FROM mains"))
@@ -86,7 +94,7 @@ def _headed(spark, sf_dir):
 
 @query("""SELECT 'http://d/' || doc_id AS url, unnest(['dc_source', 'og:lang', 'x-size', 'keywords']) AS key, unnest([source, lang, n_chars::VARCHAR, 'a|' || lang || '|b|' || source]) AS value FROM documents""")
 def page_meta(spark, sf_dir):
-    rows = H.scrape(_headed(spark, sf_dir), "BSoup", now=datetime(2024, 6, 1), with_links=False)
+    rows = H.scrape(_headed(spark, sf_dir), "BSoup", now=datetime(2024, 6, 1), with_links=False, fields=("url", "metadata"))
     return rows.select("url", F.explode("metadata").alias("key", "value")).select("url", "key", F.array_join("value", "|").alias("value"))
 
 
@@ -96,7 +104,7 @@ def page_date(spark, sf_dir):
     seen = D.read(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
     times = F.concat(F.lit('<time datetime="'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('">x</time>'))
     pages = seen.groupBy(F.concat(F.lit("http://u/"), F.col("user_id").cast("string")).alias("url")).agg(F.array_join(F.sort_array(F.collect_list(times)), "").alias("html"))
-    return H.scrape(pages, "BSoup", now=datetime(2024, 1, 20), fuzzy_date=False).select("url", F.col("date").cast("timestamp_ntz").alias("date"))
+    return H.scrape(pages, "BSoup", now=datetime(2024, 1, 20), fuzzy_date=False, fields=("url", "date")).select("url", F.col("date").cast("timestamp_ntz").alias("date"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS date FROM orders")

@@ -495,8 +495,8 @@ def crawler_status(spark, sf_dir):
 # HTML
 
 
-def _parsed(spark, sf_dir, name="BSoup"):
-    return H.scrape(D.read(spark, sf_dir, "pages"), name, now=datetime(2024, 6, 1))
+def _parsed(spark, sf_dir, name="BSoup", fields=("url", "text")):
+    return H.scrape(D.read(spark, sf_dir, "pages"), name, now=datetime(2024, 6, 1), fields=fields)
 
 
 @query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS t FROM documents)
