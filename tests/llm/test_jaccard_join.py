@@ -77,8 +77,8 @@ def chains(seed, families, each, words):
 
 def test_large_groups_of_near_copies(spark, monkeypatch):
     """Each text is like its neighbours in a chain only, shingles are shared by more than SMALL, and short texts share most of theirs unlike others."""
-    monkeypatch.setattr(jaccard_join, "SMALL", 4)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    for name, value in (("SMALL", 3), ("BLOCK", 16), ("LARGE", 24)):
+        monkeypatch.setattr(jaccard_join, name, value)
     monkeypatch.setattr(near_copies, "BLOCK", 16)
     rows = chains(2, 3, 60, 80) + chains(3, 12, 6, 8)
     rows += [(10**9 + k, f"common words that all of them begin with and end {k}") for k in range(40)]
@@ -106,9 +106,28 @@ def test_odd_rows(spark):
 
 
 def test_a_common_shingle_does_not_pair_all(spark):
-    rows = [(i, f"{i} " + "the same long passage of words " * 1 + " ".join(f"d{i}w{k}" for k in range(60))) for i in range(300)]
+    rows = [(i, f"{i} the same long passage of words " + " ".join(f"d{i}w{k}" for k in range(60))) for i in range(300)]
     docs = documents(spark, rows).select("doc_id", "text")
-    signed = jaccard_join.signatures(docs, jaccard_join.shingle_counts(docs))
-    index = signed.selectExpr("posexplode(prefix) AS (pos, token)", "doc_id AS group", "m")
-    shared = index.groupBy("token").agg({"*": "count"}).filter("`count(1)` > 1")
-    assert shared.count() == 0  # rare shingles come first, so the passage is in no prefix
+    counts = jaccard_join.shingle_counts(jaccard_join.first_pass(docs))
+    groups = jaccard_join.prefixes(docs, counts).selectExpr("kind", "doc_id AS group", "m", "prefix", "1 AS members")
+    assert jaccard_join.met_groups(groups).count() == 0  # rare shingles come first, so the passage is in no prefix
+
+
+def test_words_numbered_or_ranked_compare_the_same(monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abc") for _ in range(n)) for n in (0, 1, 4, 5, 6, 9, 30, 60, 60)] + ["A b\tc a", "a B c a b c a b c", "x"]
+    want = [[100 * len(shingles(x) & shingles(y)) >= 80 * len(shingles(x) | shingles(y)) if shingles(x) else False for y in texts] for x in texts]
+    for base in (6208, 2):
+        monkeypatch.setattr(jaccard_join, "BASE", base)
+        assert [[jaccard_join.Shingles(x.encode()).similar(y.encode()) for y in texts] for x in texts] == want
+    assert [jaccard_join.Shingles(x.encode()).count() for x in texts[1:]] == [len(shingles(x)) for x in texts[1:]]
+
+
+def test_hashes_of_words_follow_the_words_alone(monkeypatch):
+    text = "Ab  é ab\x0b12 AB\n" * 7 + "x" * 50
+    words = jaccard_join.WordHashes()
+    whole = words.words(text.lower().encode())
+    monkeypatch.setattr(jaccard_join, "CHUNK", 16)
+    assert words.words(text.lower().encode()).tolist() == whole.tolist()
+    named = list(zip(text.lower().split(), whole.tolist(), strict=True))
+    assert len(set(named)) == len({w for w, _ in named}) == len({h for _, h in named}) == 4
