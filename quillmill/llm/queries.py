@@ -119,6 +119,18 @@ w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))
 x AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ts) * docs) // terms))) AS impact FROM p JOIN w USING (t) JOIN d USING (r), g),
 s AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM x JOIN i USING (t) JOIN d USING (r) GROUP BY item_id, r, doc_id)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+""",
+    # all pairs that share a shingle, and all rows that links reach from a row
+    "op13_jaccard_join": r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[k:k + 4], ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT a AS r, a AS o FROM (SELECT DISTINCT a FROM e) UNION SELECT e.b, c.o FROM c JOIN e ON e.a = c.r),
+m AS (SELECT c.r, min(d.doc_id) AS least FROM c JOIN d ON d.r = c.o GROUP BY c.r)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN m ON m.r = d.r
 """,
     # matches are marked in the text, which is cut at the marks: lengths of the parts are their places
     "op2_secrets": rf"""
