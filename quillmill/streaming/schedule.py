@@ -140,7 +140,9 @@ class CrawlerPool(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self._load()
-        self._until(expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        # all that the watermark has passed: a timer that is set for it now would wait for a batch that may never come
+        mark = timerValues.getCurrentWatermarkInMs() if timerValues is not None else 0
+        self._until(max(expiredTimerInfo.getExpiryTimeInMs(), mark) * 1000)
         yield from self._store(key)
 
     def close(self) -> None:

@@ -164,3 +164,27 @@ def test_a_gate_that_forgets_runs_on_a_trigger(spark, tmp_path):
     finally:
         query.stop()
     assert sorted((r.crawler_id, r.ts.second) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 10), (2, 30)]
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_timer_tells_all_that_the_watermark_has_passed():
+    """Of two changes that come due in one batch the second has no batch of its own to wait for."""
+    handle, pool = Handle(), schedule.CrawlerPool(60)
+    pool.init(handle)
+    list(pool.handleInputRows((7,), iter([Row(_us=1, setting=None), Row(_us=2, setting=None), Row(_us=MINUTE - 1, setting=0)]), None))
+    (due,) = handle.timers
+    told = [(r.at_us, r.crawling_status) for r in pool.handleExpiredTimer((7,), Mark(5 * MINUTE // 1000), Expired(due))]
+    assert told == [(MINUTE, 0)] and not handle.timers
+    handle, pool = Handle(), schedule.CrawlerPool(60)
+    pool.init(handle)
+    list(pool.handleInputRows((7,), iter([Row(_us=1, setting=None), Row(_us=2, setting=None), Row(_us=3, setting=1)]), None))
+    (due,) = handle.timers
+    told = [(r.at_us, r.crawling_status) for r in pool.handleExpiredTimer((7,), Mark(5 * MINUTE // 1000), Expired(due))]
+    assert told == [(2 * MINUTE, 1)] and not handle.timers
