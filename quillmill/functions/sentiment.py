@@ -51,6 +51,7 @@ def hit_totals(found: Column, lexicon: dict[str, int]) -> tuple[Column, Column]:
     total = F.lit(0)
     for score in sorted({s for s in lexicon.values() if s}):
         total = total + F.size(F.filter(found, _one_of([t for t, s in lexicon.items() if s == score]))) * score
+    total = F.when(F.size(found) == 0, F.lit(0)).otherwise(total)  # most texts have none
     return total.cast("long"), F.size(found).cast("long")
 
 

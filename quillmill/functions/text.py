@@ -19,13 +19,22 @@ HELD, CUT, MARK = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
 def unmarked(text: Column) -> Column:
-    return F.translate(text, HELD + CUT + MARK, "\ufffd" * 3)
+    held = F.contains(text, F.lit(HELD)) | F.contains(text, F.lit(CUT)) | F.contains(text, F.lit(MARK))
+    return F.when(held, F.translate(text, HELD + CUT + MARK, "\ufffd" * 3)).otherwise(text)
+
+
+def _held(text: Column, form: str) -> Column:
+    """The text with HELD for the stop and blank after words of this form.
+
+    The expression begins with the stop, which is rare, and looks back from it: one that begins with the word is
+    tried at every character. A form that follows another at once has no blank of its own before it and is left as it is.
+    """
+    return F.regexp_replace(text, rf"\.(?<=(?:^|[^A-Za-z0-9_]){form}\.)\s({form}\.\s)?", f"{HELD}$1")
 
 
 def sentences(text: Column) -> Column:
     """Array of sentences: cut after . ? ! and white space, but not after abbreviations and initials."""
-    kept = F.regexp_replace(unmarked(text), rf"(?i)(^|[^A-Za-z0-9_])({'|'.join(ABBREVIATIONS)})\.\s", f"$1$2{HELD}")
-    kept = F.regexp_replace(kept, r"(^|[^A-Za-z0-9_])([A-Z])\.\s", f"$1$2{HELD}")
+    kept = _held(_held(unmarked(text), f"(?i:{'|'.join(ABBREVIATIONS)})"), "[A-Z]")
     cut = F.split(F.regexp_replace(kept, r"([.?!])\s+", f"$1{CUT}"), CUT)
     return F.transform(cut, lambda s: F.replace(s, F.lit(HELD), F.lit(". ")))
 
