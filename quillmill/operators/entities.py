@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quillmill.functions import sentiment as S
 from quillmill.functions import text as T
+from quillmill.storage import materialize
 
 #: How much more a title counts than the text, and an entity than a mere candidate.
 TITLE_WEIGHT = ENTITY_WEIGHT = 2
@@ -174,8 +175,12 @@ def extract(pages: DataFrame, gazetteer: DataFrame, lexicon: dict[str, int], mod
     rejects = pages.filter((F.size("text") <= 0) | F.col("text").isNull()).select("page_key", F.lit("no text").alias("reason"))
     sents = sentence_table(good)
     resolved = resolve(piece_table(sents, lexicon), gazetteer)
-    scored = found = mentions(with_sentence_score(resolved))
-    if "highlighted_strings" in pages.columns:
+    marked = "highlighted_strings" in pages.columns
+    if marked:  # read twice
+        resolved = materialize(resolved, "pieces")
+    # read three times: each would cut and resolve all texts again
+    scored = found = materialize(mentions(with_sentence_score(resolved)), "mentions")
+    if marked:
         marks = good.select("page_key", F.explode("highlighted_strings").alias("highlight"))
         scored = found.unionByName(scored_mentions(highlight_mentions(sents, marks, gazetteer), sentence_scores(resolved)), allowMissingColumns=True)
     keywords = keyword_entities(good, gazetteer) if "keywords" in pages.columns else None
