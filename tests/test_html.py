@@ -66,3 +66,12 @@ def test_scraping_is_deterministic(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     a, b = (sorted(map(str, H.scrape(df, "BSoup", now=datetime(2024, 1, 1)).collect())) for _ in range(2))
     assert a == b
+
+
+def test_links_of_two_pages_with_one_url_come_once(spark, tmp_path):
+    from quillmill.plans import more
+
+    page = '<body><a href="/a">a</a><a href="/%s">b</a></body>'
+    spark.createDataFrame([(1, "http://h/", page % "b"), (2, "http://h/", page % "c")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(r.link for r in more.dom_links(spark, str(tmp_path)).collect())
+    assert got == ["http://h/a", "http://h/b", "http://h/c"]
