@@ -11,8 +11,8 @@ shuffle, so a chunk that a third of all documents share is one row per task.
 
 Chunks alone miss most short passages: one whose lines are cut together with differing
 neighbours has no chunk of its own. With `whole`, as the query and the pipeline ask for, every
-two lines in a row are a chunk. A repeated run of two lines or more is then covered from its
-first line to its last, wherever it starts, and what the longer chunks find is part of that.
+two lines in a row are compared too, beside the chunks. A repeated run of two lines or more is
+then covered from its first line to its last, wherever it starts.
 """
 
 from __future__ import annotations
@@ -75,12 +75,17 @@ def repeated_chunks(every: DataFrame) -> DataFrame:
     return digests.filter((F.col("n") > 1) & (F.col("texts") == 1)).select("digest", "n_bytes", "_first")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, _th and _gone, the ordered array of struct(start, stop), of the documents that lose chunks."""
+def later_chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, _th, start and stop of the chunks that occur earlier."""
     every = chunks(docs)
-    repeated = materialize(repeated_chunks(every), "repeated")
+    repeated = materialize(repeated_chunks(every), "repeated-chunks")
     later = every.select("doc_id", "_th", "_place", "start", "stop", "digest", "n_bytes").join(repeated, ["digest", "n_bytes"]).filter("_place != _first")
-    return later.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_gone"))
+    return later.select("doc_id", "_th", "start", "stop")
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """doc_id, _th and _gone, the ordered array of struct(start, stop), of the documents that lose chunks."""
+    return later_chunks(docs).groupBy("doc_id", "_th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_gone"))
 
 
 def ambiguous(lines: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def _ranges(starts: Column) -> Column:
 
 
 def run_removals(docs: DataFrame) -> DataFrame:
-    """removals() of every run of two lines or more, whose pairs of lines all occur earlier.
+    """removals() with every run of two lines or more beside the chunks, whose pairs of lines all occur earlier.
 
     Pairs are compared by their lines' hashes; lines are compared in bytes, once for each
     distinct line, and a pair with a hash that two lines share removes nothing. A pair that
@@ -111,7 +116,9 @@ def run_removals(docs: DataFrame) -> DataFrame:
     sure = twice.join(unsure, "h", "left_anti").join(unsure.withColumnRenamed("h", "h2"), "h2", "left_anti")
     repeated = materialize(sure, "repeated")
     later = every.join(repeated, ["h", "h2"]).filter("_place != _first AND NOT (h = h2 AND _place = _first + 1)")
-    return later.groupBy("doc_id", "_th").agg(_ranges(F.sort_array(F.collect_set("start"))).alias("_gone"))
+    cut = later_chunks(docs).select("doc_id", "_th", F.explode(F.sequence(F.col("start"), F.col("stop") - MIN_LINES)).alias("start"))
+    both = cut.unionByName(later.select("doc_id", "_th", "start"))
+    return both.groupBy("doc_id", "_th").agg(_ranges(F.sort_array(F.collect_set("start"))).alias("_gone"))
 
 
 def kept_text(text: Column, gone: Column) -> Column:

@@ -77,3 +77,11 @@ def test_a_hash_of_two_lines_is_ambiguous(spark):
 def test_plan_has_no_python(spark):
     plan = QUERIES["op3_line_chunks"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_runs_come_with_the_chunks_of_the_rolling_hash(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\nd\ny"), (3, "a\nb\nc\nd\ne")], "doc_id long, text string")
+    asked, rolling = [], line_chunks.rolling
+    monkeypatch.setattr(line_chunks, "rolling", lambda *a: asked.append(a) or rolling(*a))
+    got = {r.doc_id: r.text for r in line_chunks.line_dedup(docs, whole=True).collect()}
+    assert asked and got == {1: "a\nb\nc\nd\ne", 2: "x\ny", 3: ""}
