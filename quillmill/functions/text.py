@@ -14,6 +14,8 @@ from quillmill.functions.mojibake import fix_text, repair  # noqa: F401
 ABBREVIATIONS = ("dr", "vs", "mr", "mrs", "prof", "inc")
 #: A capitalised word and those that follow it after single spaces: what stands in for a named-entity model.
 CANDIDATE = r"(\p{Lu}[\p{L}0-9]*(?: \p{Lu}[\p{L}0-9]*)*)"
+#: A candidate, or a word outside of candidates as far as it is ASCII: what stands outside has no capital letter.
+TOKEN = r"\p{Lu}[\p{L}0-9]*+(?: \p{Lu}[\p{L}0-9]*+)*+|[a-z0-9_]++"
 #: Marks that stand between steps: noncharacters, which no text holds; one that does has them replaced.
 HELD, CUT, MARK = "\ufdd0", "\ufdd1", "\ufdd2"
 
@@ -33,10 +35,15 @@ def _held(text: Column, form: str) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Array of sentences: cut after . ? ! and white space, but not after abbreviations and initials."""
-    kept = _held(_held(unmarked(text), f"(?i:{'|'.join(ABBREVIATIONS)})"), "[A-Z]")
+    """Array of sentences: cut after . ? ! and white space, but not after abbreviations and initials.
+
+    A text without any of those, as most are, is only cut.
+    """
+    words = f"(?i:{'|'.join(ABBREVIATIONS)})"
+    kept = _held(_held(unmarked(text), words), "[A-Z]")
     cut = F.split(F.regexp_replace(kept, r"([.?!])\s+", f"$1{CUT}"), CUT)
-    return F.transform(cut, lambda s: F.replace(s, F.lit(HELD), F.lit(". ")))
+    held = F.transform(cut, lambda s: F.replace(s, F.lit(HELD), F.lit(". ")))
+    return F.when(text.rlike(rf"\.(?<=(?:^|[^A-Za-z0-9_])(?:{words}|[A-Z])\.)\s"), held).otherwise(F.split(unmarked(text), r"(?<=[.?!])\s+"))
 
 
 def pieces(sentence: Column) -> Column:
@@ -44,6 +51,16 @@ def pieces(sentence: Column) -> Column:
     return F.split(F.regexp_replace(unmarked(sentence), CANDIDATE, f"{MARK}$1{MARK}"), MARK)
 
 
+def tokens(sentence: Column) -> Column:
+    """The candidates and the words outside of them, in order, found in one pass."""
+    return F.regexp_extract_all(sentence, F.lit(TOKEN), F.lit(0))
+
+
+def is_capital(token: Column) -> Column:
+    """Whether a token is a candidate: it begins with other than a small letter, digit or underscore of ASCII."""
+    return (token >= "{") | ((token >= "A") & (token < "["))
+
+
 def candidates(sentence: Column, least: int = 2) -> Column:
     return F.filter(F.regexp_extract_all(sentence, F.lit(CANDIDATE), F.lit(1)), lambda c: F.length(c) >= least)
 

@@ -6,6 +6,8 @@ later grouping by (page, sentence) or (page, name) finds its rows where they are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,25 +40,45 @@ def sentence_table(pages: DataFrame) -> DataFrame:
     return cut.select("page_key", "site", F.inline_outer("_r")).filter("sentence_idx IS NOT NULL")
 
 
+def _cut(sentences: DataFrame, lexicon: dict[str, int], rows: Callable[[Column, Column], Column]) -> DataFrame:
+    """The sentences' keys with the rows (structs) that rows() makes of a sentence's candidates and of the words of the lexicon outside of them."""
+    terms = [t for t, s in lexicon.items() if s]
+    named = lambda ts: F.filter(ts, lambda t: T.is_capital(t) & (F.length(t) >= 2))
+
+    def made(ts: Column) -> Column:
+        rest = F.filter(ts, lambda t: t.isin(terms))
+        if any(len(t) == 1 for t in terms):  # a candidate of one letter is no name, but may be such a word
+            rest = F.concat(rest, S.hits(F.array_join(F.filter(ts, lambda t: T.is_capital(t) & (F.length(t) < 2)), "\n"), lexicon))
+        return F.transform(F.array(rest), lambda r: rows(named(ts), r))[0]
+
+    cut = sentences.select("page_key", "site", "sentence_idx", "is_title", F.transform(F.array(T.tokens(F.col("sentence"))), made)[0].alias("_r"))
+    return cut.select("page_key", "site", "sentence_idx", "is_title", F.inline_outer("_r"))
+
+
 def piece_table(sentences: DataFrame, lexicon: dict[str, int]) -> DataFrame:
     """A row for each candidate of a sentence, and one for the rest of it, with the sum and number of lexicon hits.
 
     The rest has no piece: nothing but its hits is asked of it later, so its text isn't carried on.
     """
-    row = lambda i, x, t: F.struct(i.cast("int").alias("piece_idx"), x.alias("piece"), t.alias("_text"))
-    is_candidate = lambda x, i: (i % 2 == 1) & (F.length(x) >= 2)
-
-    def rows(p: Column) -> Column:
-        rest = F.array_join(F.filter(p, lambda x, i: ~is_candidate(x, i)), "\n")  # a break ends words, as the candidate did
-        named = F.filter(F.transform(p, lambda x, i: F.when(is_candidate(x, i), row(i, x, x))), lambda r: r.isNotNull())
-        return F.concat(F.array(row(F.lit(-1), F.lit(None).cast("string"), rest)), named)
-
-    cut = sentences.select("page_key", "site", "sentence_idx", "is_title", F.transform(F.array(T.pieces(F.col("sentence"))), rows)[0].alias("_r"))
-    found = cut.select("page_key", "site", "sentence_idx", "is_title", F.inline_outer("_r")).withColumn("_hits", S.hits(F.col("_text"), lexicon))
+    none = F.array().cast("array<string>")
+    row = lambda i, x, hits: F.struct(i.cast("int").alias("piece_idx"), x.alias("piece"), hits.alias("_rest"))
+    rows = lambda names, rest: F.concat(F.array(row(F.lit(-1), F.lit(None).cast("string"), rest)), F.transform(names, lambda x, i: row(i, x, none)))
+    found = _cut(sentences, lexicon, rows).withColumn("_hits", F.when(F.col("piece").isNull(), F.col("_rest")).otherwise(S.hits(F.col("piece"), lexicon)))
     total, count = S.hit_totals(F.col("_hits"), lexicon)
     return found.select("page_key", "site", "sentence_idx", "is_title", "piece_idx", "piece", F.col("piece").isNotNull().alias("is_candidate"), total.alias("hit_sum"), count.alias("hit_count"))
 
 
+def candidate_table(sentences: DataFrame, lexicon: dict[str, int]) -> DataFrame:
+    """The candidates of piece_table() alone, each with the hits of its sentence's rest as rest_sum and rest_count.
+
+    That is half the rows. A sentence without a candidate has none.
+    """
+    rows = lambda names, rest: F.transform(names, lambda x: F.struct(x.alias("piece"), rest.alias("_rest")))
+    found = _cut(sentences, lexicon, rows).filter("piece IS NOT NULL").withColumn("_hits", S.hits(F.col("piece"), lexicon))
+    own, rest = S.hit_totals(F.col("_hits"), lexicon), S.hit_totals(F.col("_rest"), lexicon)
+    return found.select("page_key", "site", "sentence_idx", "is_title", "piece", F.lit(True).alias("is_candidate"), own[0].alias("hit_sum"), own[1].alias("hit_count"), rest[0].alias("rest_sum"), rest[1].alias("rest_count"))
+
+
 def one_per_name(gazetteer: DataFrame) -> DataFrame:
     """A row for each lower-cased name: of several categories, the first."""
     best = gazetteer.groupBy("_name").agg(F.min_by(F.struct("name", "category", "disabled"), F.struct("category", "name")).alias("_g"))
@@ -66,16 +88,17 @@ def one_per_name(gazetteer: DataFrame) -> DataFrame:
 def resolve(pieces: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Adds name, category and is_entity. Names the gazetteer lacks, or has disabled, stay candidates.
 
-    Catalyst broadcasts the gazetteer if it is small; otherwise both sides are dealt by name and
-    AQE splits names that are too common. Rows that are no candidates get a key that no name
+    Its known names are stored first, so that Catalyst knows their size and broadcasts them if they are
+    small, before any piece is dealt out; otherwise both sides are dealt by name and AQE splits names
+    that are too common. Rows that are no candidates get a key that no name
     has, by their sentence, so that they are spread instead of meeting at null.
     """
-    known = one_per_name(gazetteer)
+    known = materialize(one_per_name(gazetteer).filter(~F.col("disabled")).drop("disabled"), "known-names")
     spread = F.concat(F.lit(T.MARK), F.xxhash64("page_key", "sentence_idx").cast("string"))
     keyed = pieces.withColumn("_name", F.when(F.col("is_candidate"), F.lower("piece")).otherwise(spread))
     joined = keyed.join(known, "_name", "left")
-    entity = F.col("name").isNotNull() & ~F.col("disabled")
-    return joined.select(*pieces.columns, F.when(entity, F.col("name")).alias("name"), F.when(entity, F.col("category")).alias("category"), F.coalesce(entity, F.lit(False)).alias("is_entity"))
+    entity = F.col("name").isNotNull()
+    return joined.select(*pieces.columns, F.when(entity, F.col("name")).alias("name"), F.when(entity, F.col("category")).alias("category"), entity.alias("is_entity"))
 
 
 def sentence_scores(resolved: DataFrame) -> DataFrame:
@@ -86,12 +109,16 @@ def sentence_scores(resolved: DataFrame) -> DataFrame:
 
 
 def with_sentence_score(resolved: DataFrame) -> DataFrame:
-    """The pieces with their sentence's sentiment, as score: what sentence_scores() gives, found in one pass by a window over each sentence instead of a join with itself."""
+    """The pieces with their sentence's sentiment, as score: what sentence_scores() gives, found in one pass by a window over each sentence instead of a join with itself.
+
+    Pieces are all of a sentence, or those of candidate_table().
+    """
     resolved = resolved.repartition("page_key")  # serves this window and every later grouping by page
     here = Window.partitionBy("page_key", "sentence_idx")
-    own = lambda c: F.coalesce(F.sum(F.when(~F.col("is_entity"), F.col(c))).over(here), F.lit(0))
-    summed = resolved.withColumn("_t", own("hit_sum")).withColumn("_n", own("hit_count"))
-    return summed.withColumn("score", S.score_of(F.col("_t"), F.col("_n"), None)).drop("_t", "_n")
+    rest = ["rest_sum", "rest_count"] if "rest_sum" in resolved.columns else []
+    own = lambda c, r: F.coalesce(F.sum(F.when(~F.col("is_entity"), F.col(c))).over(here), F.lit(0)) + (F.col(r) if rest else F.lit(0))
+    summed = resolved.withColumn("_t", own("hit_sum", "rest_sum")).withColumn("_n", own("hit_count", "rest_count"))
+    return summed.withColumn("score", S.score_of(F.col("_t"), F.col("_n"), None)).drop("_t", "_n", *rest)
 
 
 def highlight_mentions(sentences: DataFrame, highlights: DataFrame, gazetteer: DataFrame, double_count: bool = True) -> DataFrame:
@@ -174,8 +201,8 @@ def extract(pages: DataFrame, gazetteer: DataFrame, lexicon: dict[str, int], mod
     good = pages.filter(F.size("text") > 0)
     rejects = pages.filter((F.size("text") <= 0) | F.col("text").isNull()).select("page_key", F.lit("no text").alias("reason"))
     sents = sentence_table(good)
-    resolved = resolve(piece_table(sents, lexicon), gazetteer)
     marked = "highlighted_strings" in pages.columns
+    resolved = resolve((piece_table if marked else candidate_table)(sents, lexicon), gazetteer)
     if marked:  # read twice
         resolved = materialize(resolved, "pieces")
     # read three times: each would cut and resolve all texts again

@@ -97,3 +97,35 @@ def test_keywords_of_entities_come_from_stored_mentions(spark):
 
     plan = more.entities_with_keywords(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+ODD = ["fooBar isn't Good_x BAD", "badFoo LoVe liKe wİn ÉBad éBad goodÉ", "A good I no X", "Good Bad was sad. sad_ _sad sad1 1sad", "", "no Like", "ǅbad BadÉ ha-Ha HaHa", "A1 b2Good good"]
+
+
+def test_pieces_in_one_pass_have_the_hits_of_the_cut_sentence(spark):
+    """A candidate may begin inside a word and end before an underscore: words end there too."""
+    lexicon = {**LEX, "a": 1, "i": 2, "x": -1}
+    sents = spark.createDataFrame([(1, "s", i, False, x) for i, x in enumerate(ODD)], "page_key long, site string, sentence_idx int, is_title boolean, sentence string")
+    found = E.piece_table(sents, lexicon).collect()
+    for i, pieces in enumerate(r.p for r in sents.orderBy("sentence_idx").select(T.pieces(F.col("sentence")).alias("p")).collect()):
+        named = [p for k, p in enumerate(pieces) if k % 2 and len(p) >= 2]
+        assert [r.piece for r in found if r.sentence_idx == i and r.is_candidate] == named
+        rest = "\n".join(p for k, p in enumerate(pieces) if not (k % 2 and len(p) >= 2))
+        for text, rows in [(rest, [r for r in found if r.sentence_idx == i and not r.is_candidate]), *((n, [r for r in found if r.sentence_idx == i and r.piece == n][:1]) for n in named)]:
+            words = spark.createDataFrame([(text,)], "t string").select(S.words(F.col("t")).alias("w")).first().w
+            hits = [lexicon[w] for w in words if w in lexicon]
+            assert [(r.hit_sum, r.hit_count) for r in rows] == [(sum(hits), len(hits))], (ODD[i], text)
+
+
+def test_candidates_alone_have_the_score_of_all_pieces(spark):
+    gaz = spark.createDataFrame([("Good", "good", "x", False), ("Bad", "bad", "x", True)], GAZ)
+    sents = spark.createDataFrame([(1, "s", i, False, x) for i, x in enumerate([*ODD, "Good was bad. Bad", "Good and Good Bad", "Paris is nice Good"])], "page_key long, site string, sentence_idx int, is_title boolean, sentence string")
+    both = [sorted(map(tuple, E.mentions(E.with_sentence_score(E.resolve(table(sents, LEX), gaz))).collect()), key=repr) for table in (E.piece_table, E.candidate_table)]
+    assert both[0] == both[1] and len(both[0]) > 10
+    assert E.candidate_table(sents, LEX).count() == E.piece_table(sents, LEX).filter("is_candidate").count()
+
+
+def test_known_names_are_broadcast_before_pieces_are_dealt_out(spark, gaz):
+    sents = spark.createDataFrame([(1, "s", 0, False, "Rome is good")], "page_key long, site string, sentence_idx int, is_title boolean, sentence string")
+    plan = E.resolve(E.candidate_table(sents, LEX), gaz.unionByName(gaz).distinct())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
