@@ -166,10 +166,13 @@ def pool_history(rows: DataFrame, frequency: int = FREQUENCY_S, delay: str = "1
 
 
 class DailyQuota(StatefulProcessor):
-    """For each queue a map from UTC day to the number let through; a timer at the end of the day clears it."""
+    """A map from UTC day to the number let through; a timer at the end of the day clears it.
+
+    What a key gives for a batch is held in Python until all of it is there, so a key is best a queue and one day.
+    """
 
     def __init__(self, quota: int, columns: list[str]) -> None:
-        self.most, self.row = quota + 1, Row(*columns, "let_through")
+        self.most, self.width, self.row = quota + 1, len(columns), Row(*columns, "let_through")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -189,11 +192,11 @@ class DailyQuota(StatefulProcessor):
             if len(heap) < free[day]:
                 heapq.heappush(heap, entry)
             else:
-                yield self.row(*(heapq.heappushpop(heap, entry)[3][:-2] if heap else r[:-2]), False)
+                yield self.row(*(heapq.heappushpop(heap, entry)[3] if heap else r)[: self.width], False)
         for day, heap in held.items():
             if heap:
                 self.used.updateValue((day,), (self.most - free[day] + len(heap),))
-                yield from (self.row(*e[3][:-2], True) for e in heap)
+                yield from (self.row(*e[3][: self.width], True) for e in heap)
             self.handle.registerTimer((day + 1) * DAY // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -208,10 +211,11 @@ def daily_quota(items: DataFrame, quota: int = DAILY_QUOTA, key: str = "queue",
     """Every row of a stream of items (key, ts, order and more), with let_through: whether it is among the first quota + 1 of its queue and UTC day.
 
     The others are to be put back. Counts go on from batch to batch, and a day's is cleared once the
-    watermark has passed its end. A task holds at most quota + 1 rows of a queue and day. order, a
-    long, decides between equal times. Rows without a ts are left out.
+    watermark has passed its end. Each queue and day is a key of its own, as Spark holds the rows that a
+    key gives for a batch in Python. order, a long, decides between equal times. Rows without a ts are left out.
     """
     columns = items.columns
-    timed = items.filter(F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select(*columns, F.unix_micros("ts").alias("_us"), F.col(order).cast("long").alias("_order"))
+    timed = items.filter(F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("_us", F.unix_micros("ts"))
+    timed = timed.select(*columns, F.floor((F.col("_us") - F.pmod("_us", F.lit(DAY))) / F.lit(DAY)).alias("_day"), "_us", F.col(order).cast("long").alias("_order"))
     schema = ", ".join(f"`{c}` {t}" for c, t in timed.select(columns).dtypes) + ", let_through boolean"
-    return timed.groupBy(key).transformWithState(DailyQuota(quota, columns), schema, "append", "EventTime")
+    return timed.groupBy(key, "_day").transformWithState(DailyQuota(quota, columns), schema, "append", "EventTime")

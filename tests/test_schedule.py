@@ -188,3 +188,12 @@ def test_a_timer_tells_all_that_the_watermark_has_passed():
     (due,) = handle.timers
     told = [(r.at_us, r.crawling_status) for r in pool.handleExpiredTimer((7,), Mark(5 * MINUTE // 1000), Expired(due))]
     assert told == [(2 * MINUTE, 1)] and not handle.timers
+
+
+def test_a_queues_days_are_keys_of_their_own(spark, tmp_path):
+    """Spark holds what a key gives for a batch in Python: with a queue alone as key that was all of its rows."""
+    df = spark.createDataFrame([(n, 864_000 + n * 3_600) for n in range(60)], "item_id long, s long").select("item_id", F.lit("q").alias("queue"), F.timestamp_seconds("s").alias("ts"))
+    plan = schedule.daily_quota(streams.jobs.stream_parquet(spark, str(tmp_path), df.schema), 2)._jdf.queryExecution().logical().toString()
+    assert "_day" in plan
+    got = streams.replayed(df, lambda s: schedule.daily_quota(s, 2)).collect()
+    assert sorted(r.item_id for r in got if r.let_through) == [0, 1, 2, 24, 25, 26, 48, 49, 50] and len(got) == 60
