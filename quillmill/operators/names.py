@@ -1,22 +1,24 @@
 """Names of a dictionary in running text: of one word or several, in any case, leftmost and longest first.
 
 Text and names are runs of letters and digits in lower case. A dictionary under NAME_BYTES goes to all
-tasks as an automaton over words, which finds all names that end at a word in one pass over a
-sentence, whatever the number of names. A larger one stays where it is: a name is a row, keyed by that of
+tasks as an automaton over words, which finds names in one pass over a sentence, whatever the number of names. A larger one stays where it is: a name is a row, keyed by that of
 its words which the text has least often, so that a sentence meets a name only over that word.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillmill.storage import materialize
 
-WORD = r"[\p{L}\p{N}]+"
+WORD, BETWEEN = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 #: Bytes of all names together up to which they go to all tasks.
 NAME_BYTES = 16 << 20
 
@@ -26,65 +28,62 @@ def words(text: Column) -> Column:
 
 
 class Automaton:
-    """States are beginnings of names; from each, where a word leads, and the longest ending that is also a beginning."""
+    """Names as a tree of words: where a word leads from each beginning of a name, and the name that a beginning is, if any.
+
+    A word that begins no name costs one look-up. Names are taken from the left, the longest at a
+    place, so after a name the search goes on behind it, and no place is read further than the longest name.
+    """
 
     def __init__(self, names: list[list[str]]) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.fail, self.length = [0], [0]  # length: of the name that a state is, 0 if it is none
-        for name in names:
+        self.next: list[dict[str, int]] = [{}]  # flat, as a nested tree of a name of very many words can't be pickled
+        self.name: list[tuple[int, str] | None] = [None]
+        for words_ in names:
             at = 0
-            for w in name:
+            for w in words_:
                 if w not in self.next[at]:
                     self.next[at][w] = len(self.next)
                     self.next.append({})
-                    self.fail.append(0)
-                    self.length.append(0)
+                    self.name.append(None)
                 at = self.next[at][w]
-            self.length[at] = len(name)
-        queue = list(self.next[0].values())
-        self.shorter = [0] * len(self.next)  # the next state along fail that is a name
-        for at in queue:  # breadth first: failures of shorter beginnings are known
-            for w, to in self.next[at].items():
-                self.fail[to] = self._step(self.fail[at], w)
-                queue.append(to)
-            f = self.fail[at]
-            self.shorter[at] = f if self.length[f] else self.shorter[f]
-
-    def _step(self, at: int, word: str) -> int:
-        while at and word not in self.next[at]:
-            at = self.fail[at]
-        return self.next[at].get(word, 0)
+            self.name[at] = (len(words_), " ".join(words_))
+
+    def found(self, tokens: list[str]) -> Iterator[tuple[int, tuple[int, str]]]:
+        """Place, number of words and text of each name."""
+        start, leads, name, end = self.next[0], self.next, self.name, len(tokens)
+        free = 0
+        for i, w in enumerate(tokens):
+            if w in start and i >= free:
+                best, at, k = None, start[w], i + 1
+                while True:
+                    best = name[at] or best
+                    if k == end or (at := leads[at].get(tokens[k])) is None:
+                        break
+                    k += 1
+                if best:
+                    yield i, best
+                    free = i + best[0]
 
     def matches(self, tokens: list[str]) -> list[tuple[int, int]]:
         """Place and number of words of each name, from the left, the longest at a place, none over another."""
-        found, at = [], 0
-        for end, w in enumerate(tokens, 1):
-            at = self._step(at, w)
-            name = at if self.length[at] else self.shorter[at]
-            while name:
-                found.append((end - self.length[name], -self.length[name]))
-                name = self.shorter[name]
-        out, free = [], 0
-        for start, less in sorted(found):
-            if start >= free:
-                out.append((start, -less))
-                free = start - less
-        return out
+        return [(at, n) for at, (n, _) in self.found(tokens)]
+
+
+def _share(names: DataFrame) -> Broadcast:
+    return names.sparkSession.sparkContext.broadcast(Automaton([r[0] for r in names.collect()]))  # of a size that was checked
 
 
 def _automaton_matches(rows: DataFrame, names: DataFrame) -> DataFrame:
-    built = Automaton([r[0] for r in names.collect()])  # of a size that was checked
-    shared = rows.sparkSession.sparkContext.broadcast(built)
+    shared = _share(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in batches:
             at, starts, found = [], [], []
             for k, tokens in enumerate(batch.column("_words").to_pylist()):
-                for start, n in automaton.matches(tokens or []):
+                for start, (_, name) in automaton.found(tokens or []):
                     at.append(k)
                     starts.append(start)
-                    found.append(" ".join(tokens[start : start + n]))
+                    found.append(name)
             yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(found, pa.string())], names=["_row", "start", "name"])
 
     return rows.select("_row", "_words").mapInArrow(run, "_row long, start int, name string")
@@ -105,14 +104,44 @@ def _joined_matches(rows: DataFrame, names: DataFrame) -> DataFrame:
     return hits.groupBy("_row").agg(kept.alias("m")).select("_row", F.explode("m").alias("m")).select("_row", "m.start", F.array_join("m._name", " ").alias("name"))
 
 
+def _known(names: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The names as arrays of words, stored, and whether all of them are small enough for every task."""
+    known = materialize(names.select(words(F.col("name")).alias("_name")).filter(F.size("_name") > 0).distinct(), "names")
+    total = known.agg(F.coalesce(F.sum(F.octet_length(F.array_join("_name", " ")) + 1), F.lit(0))).first()[0]
+    return known, total <= most
+
+
 def matches(sentences: DataFrame, names: DataFrame, text: str = "sentence", most: int = NAME_BYTES) -> DataFrame:
     """sentences with start (in words, from 0) and name (its words, lower-cased, joined by spaces) of each name of names (name) in them.
 
     Names with the same words are one; a name without a word is none. A null or empty sentence has no
     names. Sentences without a name give no row.
     """
-    known = materialize(names.select(words(F.col("name")).alias("_name")).filter(F.size("_name") > 0).distinct(), "names")
+    known, small = _known(names, most)
     rows = materialize(sentences.withColumns({"_words": words(F.col(text)), "_row": F.monotonically_increasing_id()}), "sentences")
-    total = known.agg(F.coalesce(F.sum(F.octet_length(F.array_join("_name", " ")) + 1), F.lit(0))).first()[0]
-    found = (_automaton_matches if total <= most else _joined_matches)(rows, known)
+    found = (_automaton_matches if small else _joined_matches)(rows, known)
     return rows.drop("_words").join(found, "_row").drop("_row")
+
+
+def counts(sentences: DataFrame, names: DataFrame, key: str, text: str = "sentence", most: int = NAME_BYTES) -> DataFrame:
+    """key, name and n: how often matches() finds each name in the sentences of a key (a column of sentences).
+
+    With names for every task a sentence goes there as its words with blanks between, and nothing of it comes
+    back but a batch's counts; no sentence is stored or joined.
+    """
+    known, small = _known(names, most)
+    if not small:
+        return matches(sentences.select(key, text), names, text, most).groupBy(key, "name").agg(F.count("*").alias("n"))
+    shared = _share(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in batches:
+            n: Counter = Counter()
+            for k, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n.update((k, name) for _, (_, name) in automaton.found((line or "").split()))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], batch.schema.field(0).type), pa.array([x for _, x in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=[key, "name", "n"])
+
+    rows = sentences.select(key, F.regexp_replace(F.lower(text), BETWEEN, " ").alias("_words"))
+    schema = StructType([rows.schema[key], StructField("name", StringType()), StructField("n", LongType())])
+    return rows.mapInArrow(run, schema).groupBy(key, "name").agg(F.sum("n").alias("n"))

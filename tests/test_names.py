@@ -40,3 +40,25 @@ def test_both_ways_find_the_same(spark):
         assert got.columns == ["id", "sentence", "name2", "start", "name"]
         assert sorted((r.id, r.start, r.name) for r in got.collect()) == want
     assert N.matches(rows, names.limit(0)).count() == 0 == N.matches(rows.limit(0), names, most=0).count()
+
+
+def test_counts_are_those_of_the_matches(spark):
+    texts = ["Ann Bo, ann; bo", "bo ANN bo ann", None, "", "x-Bo"]
+    rows = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)] + [(None, "bo")], "id long, sentence string")
+    names = spark.createDataFrame([("Ann Bo",), ("bo",), ("x y",)], "name string")
+    want = [(0, "ann bo", 3), (0, "bo", 1), (2, "bo", 1), (None, "bo", 1)]
+    for most in (N.NAME_BYTES, 0):
+        assert sorted(map(tuple, N.counts(rows, names, "id", most=most).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_counts_store_no_sentences(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(N, "materialize", lambda df, what: stored.append(what) or df)
+    N.counts(spark.createDataFrame([(1, "Bo")], "id long, sentence string"), spark.createDataFrame([("Bo",)], "name string"), "id").collect()
+    assert stored == ["names"]
+
+
+def test_a_name_of_very_many_words(spark):
+    text = " ".join(["Und"] * 6000)
+    rows = spark.createDataFrame([(1, text), (2, text + " x und")], "id long, sentence string")
+    assert sorted(map(tuple, N.counts(rows, spark.createDataFrame([(text,), ("x",)], "name string"), "id").collect())) == [(1, text.lower(), 1), (2, text.lower(), 1), (2, "x", 1)]
