@@ -57,3 +57,11 @@ def test_odd_reports(spark, tmp_path):
     odd = spark.createDataFrame([("a\nb", None, 1), (None, "neutral", None)], "entity string, sentiment string, count long")
     R.write_report(odd, [], f"{tmp_path}/o", parts=1)
     assert lines(spark, f"{tmp_path}/o") == ["a b|1", "neutral"]
+
+
+def test_report_file_extracts_once(spark, monkeypatch):
+    from quillmill.plans import queries as Q
+
+    runs, extracted = [], Q._extracted
+    monkeypatch.setattr(Q, "_extracted", lambda *a: runs.append(a) or extracted(*a))
+    assert Q.report_file(spark, "/root/testdata/sf0.001").count() > 16 and len(runs) == 1
