@@ -12,6 +12,9 @@ small tables, one row a word or pair, combined before they are shuffled; Catalys
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,26 +22,56 @@ from quillmill.storage import materialize
 
 #: Fixed values of the paper: the least score of an abbreviation, of a collocation, and how sure a stop is after an abbreviation.
 ABBREVIATION, COLLOCATION, SURE = 0.3, 7.88, 0.99
-WORD, AROUND = r"[^ \t\n\r\f]+", r"""^["'(\[]+|["')\],;:]+$"""
+WORD = r"[^ \t\n\r\f]+"
+#: What may stand before and after a word.
+BEFORE, AFTER = "\"'([", "\"')],;:"
+
+
+def _marked(word: Column, marks: str) -> Column:
+    """Whether a word ends in one of the marks."""
+    return reduce(or_, (word.endswith(m) for m in marks))
 
 
-def tokens(texts: DataFrame) -> DataFrame:
-    """doc_id, pos, word, type (lower-cased, without its stop), stop, mark (ends in ? or !), next (the word after it) and inside (whether no sentence could end before it)."""
-    bare = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, AROUND, ""))
+def _words(text: Column, ending: bool) -> Column:
+    """The words of a text without what stands around them, as an array of structs: pos, word, next (the word after it) and last (the one before)."""
+    bare = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.rtrim(F.ltrim(w, F.lit(BEFORE)), F.lit(AFTER)))
+
+    def rows(ws: Column) -> Column:
+        row = lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("word"), F.get(ws, i + 1).alias("next"), F.get(ws, i - 1).alias("last"))
+        if not ending:
+            return F.transform(ws, row)
+        return F.filter(F.transform(ws, lambda w, i: F.when(_marked(w, ".?!") & (i + 1 < F.size(ws)), row(w, i))), lambda r: r.isNotNull())
+
     # as the one element of an array the words are worked out once
-    rows = F.transform(F.array(bare), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), F.get(ws, i + 1).alias("next"), F.get(ws, i - 1).alias("last"))))[0]
-    out = texts.select("doc_id", F.posexplode(rows).alias("pos", "r"))
-    inside = F.col("r.last").isNotNull() & ~F.col("r.last").rlike("[.?!]$")
-    return out.select("doc_id", "pos", "r.word", type_of(F.col("r.word")).alias("type"), F.col("r.word").endswith(".").alias("stop"), F.col("r.word").rlike("[?!]$").alias("mark"), "r.next", F.coalesce(inside, F.lit(False)).alias("inside"))
+    return F.transform(F.array(bare), rows)[0]
+
+
+def tokens(texts: DataFrame, ending: bool = False) -> DataFrame:
+    """doc_id, pos, word, type (lower-cased, without its stop), stop, mark (ends in ? or !), next (the word after it) and inside (whether no sentence could end before it).
+
+    ending: only words that end in a stop or mark and have a word after them.
+    """
+    rows = _words(F.col("text"), ending)
+    # an outer generator has no inferred filter, which would cut every text again
+    out = texts.select("doc_id", F.explode_outer(rows).alias("r")).filter("r IS NOT NULL")
+    word, last = F.col("r.word"), F.col("r.last")
+    inside = last.isNotNull() & ~_marked(last, ".?!")
+    return out.select("doc_id", "r.pos", word.alias("word"), type_of(word).alias("type"), word.endswith(".").alias("stop"), _marked(word, "?!").alias("mark"), "r.next", F.coalesce(inside, F.lit(False)).alias("inside"))
 
 
 def type_of(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, r"\.$", ""))
+    return F.lower(F.when(word.endswith("."), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word))
+
+
+def _begins(word: Column, kind: str, first: str, last: str) -> Column:
+    """Whether a word begins with a letter of this kind; of ASCII letters, those from first to last, that needs no expression."""
+    ascii_ = word < "\x80"
+    return F.when(ascii_, (word >= first) & (word < chr(ord(last) + 1))).otherwise(word.rlike(rf"^\p{{{kind}}}"))
 
 
 def type_counts(found: DataFrame) -> DataFrame:
     """type, n, n_stop, small and large_inside of each type."""
-    return found.groupBy("type").agg(F.count("*").alias("n"), F.count_if("stop").alias("n_stop"), F.count_if(F.col("word").rlike(r"^\p{Ll}")).alias("small"), F.count_if(F.col("inside") & F.col("word").rlike(r"^\p{Lu}")).alias("large_inside"))
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.count_if("stop").alias("n_stop"), F.count_if(_begins(F.col("word"), "Ll", "a", "z")).alias("small"), F.count_if(F.col("inside") & _begins(F.col("word"), "Lu", "A", "Z")).alias("large_inside"))
 
 
 def abbreviations(types: DataFrame) -> DataFrame:
@@ -72,8 +105,9 @@ def collocations(found: DataFrame, types: DataFrame, short: DataFrame) -> DataFr
 
 def breaks(texts: DataFrame) -> DataFrame:
     """doc_id, pos and ends of each word of texts (doc_id, text) that ends in a stop or mark and has a word after it: whether a sentence ends there."""
-    found = materialize(tokens(texts.select("doc_id", "text").filter("text IS NOT NULL")), "tokens")
-    types = materialize(type_counts(found), "types")
+    texts = texts.select("doc_id", "text").filter("text IS NOT NULL")
+    types = materialize(type_counts(tokens(texts)), "types")  # of all words, which are counted as they come
+    found = materialize(tokens(texts, ending=True), "tokens")
     if types.isEmpty():
         return found.select("doc_id", "pos", F.lit(True).alias("ends"))
     forms = types.filter(F.col("type").rlike(r"^(\p{L}|[0-9]+)$")).select("type").unionByName(abbreviations(types).select("type")).distinct()
@@ -93,7 +127,7 @@ def sentences(texts: DataFrame) -> DataFrame:
     A null text, or one of blanks alone, has no sentence. doc_id must tell rows apart.
     """
     ends = breaks(texts).filter("ends").groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    joined = texts.select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")).join(ends, "doc_id", "left")
+    joined = texts.select("doc_id", "text").join(ends, "doc_id", "left").select("doc_id", "at", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     none = F.array().cast("array<int>")
     at = F.coalesce("at", none)
     starts = F.concat(F.array(F.lit(0)), F.transform(at, lambda p: p + 1))

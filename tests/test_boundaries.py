@@ -38,3 +38,12 @@ def test_no_texts(spark):
     none = corpus(spark).limit(0)
     assert B.sentences(none).count() == 0 == B.breaks(none).count()
     assert [r.sentences for r in B.sentences(corpus(spark).filter("text IS NULL")).collect()] == [[]]
+
+
+def test_only_words_that_may_end_a_sentence_are_stored(spark, monkeypatch):
+    stored = {}
+    monkeypatch.setattr(B, "materialize", lambda df, what: stored.setdefault(what, df))
+    rows = [(1, "One two (three.) four! \"five\" six"), (2, "seven?"), (3, None)]
+    B.breaks(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.pos, r.word, r.next) for r in stored["tokens"].collect()) == [(1, 2, "three.", "four!"), (1, 3, "four!", "five")]
+    assert sum(r.n for r in stored["types"].collect()) == 7
