@@ -7,6 +7,8 @@ literals that Spark turns into hash sets.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,27 @@ def hits(text: Column, lexicon: dict[str, int]) -> Column:
     return F.filter(words(text), _one_of([t for t, s in lexicon.items() if s]))
 
 
+def _one_word_of(ends: list[str]) -> str:
+    """An expression for any of the words, letter by letter: one that names them in a row tries each of them at every place."""
+    after: dict[str, list[str]] = {}
+    for w in ends:
+        if w:
+            after.setdefault(w[0], []).append(w[1:])
+    if not after:
+        return ""
+    return f"(?:{'|'.join(c + _one_word_of(more) for c, more in sorted(after.items()))}){'?' if '' in ends else ''}"
+
+
+def _words_of(lexicon: dict[str, int]) -> str:
+    """An expression for the terms that have a score; those that are no words are never found and left out."""
+    return _one_word_of([t for t, s in lexicon.items() if s and re.fullmatch("[a-z0-9_]+", t)]) or "(?!)"
+
+
+def has_hit(text: Column, lexicon: dict[str, int]) -> Column:
+    """Whether hits() of the text has any."""
+    return F.lower(text).rlike(f"(?<![a-zA-Z0-9_]){_words_of(lexicon)}(?![a-zA-Z0-9_])")
+
+
 def hit_totals(found: Column, lexicon: dict[str, int]) -> tuple[Column, Column]:
     """Sum and number of the scores of found, an array from hits()."""
     total = F.lit(0)

@@ -19,6 +19,8 @@ from quillmill.storage import materialize
 #: How much more a title counts than the text, and an entity than a mere candidate.
 TITLE_WEIGHT = ENTITY_WEIGHT = 2
 MIN_SENTENCE, MIN_HIGHLIGHT = 3, 2
+#: So many known names that hold a word of the lexicon are tested in the row; they stand in the plan, so there is a bound.
+LOADED_NAMES = 1000
 
 
 def sentence_table(pages: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def _cut(sentences: DataFrame, lexicon: dict[str, int], rows: Callable[[Column,
         rest = F.filter(ts, lambda t: t.isin(terms))
         if any(len(t) == 1 for t in terms):  # a candidate of one letter is no name, but may be such a word
             rest = F.concat(rest, S.hits(F.array_join(F.filter(ts, lambda t: T.is_capital(t) & (F.length(t) < 2)), "\n"), lexicon))
-        return F.transform(F.array(rest), lambda r: rows(named(ts), r))[0]
+        return F.transform(F.array(rest), lambda r: F.transform(F.array(named(ts)), lambda names: rows(names, r))[0])[0]
 
     cut = sentences.select("page_key", "site", "sentence_idx", "is_title", F.transform(F.array(T.tokens(F.col("sentence"))), made)[0].alias("_r"))
     return cut.select("page_key", "site", "sentence_idx", "is_title", F.inline_outer("_r"))
@@ -93,7 +95,15 @@ def resolve(pieces: DataFrame, gazetteer: DataFrame) -> DataFrame:
     that are too common. Rows that are no candidates get a key that no name
     has, by their sentence, so that they are spread instead of meeting at null.
     """
-    known = materialize(one_per_name(gazetteer).filter(~F.col("disabled")).drop("disabled"), "known-names")
+    return _resolved(pieces, known_names(gazetteer))
+
+
+def known_names(gazetteer: DataFrame) -> DataFrame:
+    """_name, name and category of the names that aren't disabled, stored."""
+    return materialize(one_per_name(gazetteer).filter(~F.col("disabled")).drop("disabled"), "known-names")
+
+
+def _resolved(pieces: DataFrame, known: DataFrame) -> DataFrame:
     spread = F.concat(F.lit(T.MARK), F.xxhash64("page_key", "sentence_idx").cast("string"))
     keyed = pieces.withColumn("_name", F.when(F.col("is_candidate"), F.lower("piece")).otherwise(spread))
     joined = keyed.join(known, "_name", "left")
@@ -146,6 +156,29 @@ def scored_mentions(found: DataFrame, scores: DataFrame) -> DataFrame:
     return found.join(scores, ["page_key", "sentence_idx"])
 
 
+def scored_candidates(sentences: DataFrame, lexicon: dict[str, int], gazetteer: DataFrame, most: int = LOADED_NAMES) -> DataFrame:
+    """mentions() of the sentences' candidates with their sentence's sentiment as score: the same as by with_sentence_score(), mostly without a row meeting another of its sentence.
+
+    Of a sentence's candidates only those with a word of the lexicon bear on its sentiment, and of those the gazetteer
+    knows few. With up to `most` such names the sentiment is found where the sentence is cut; with more, by the window.
+    """
+    known = known_names(gazetteer)
+    loaded = [r[0] for r in known.filter(S.has_hit(F.col("_name"), lexicon)).select("_name").limit(most + 1).collect()]
+    if len(loaded) > most:
+        return mentions(with_sentence_score(_resolved(candidate_table(sentences, lexicon), known)))
+    none = F.array().cast("array<string>")
+
+    def own(names: Column) -> Column:
+        """Hits of the candidates that are no entities, a line apart, so that words of two names don't meet."""
+        free = F.filter(names, lambda n: ~F.lower(n).isin(loaded))
+        return F.when(S.has_hit(F.array_join(names, "\n"), lexicon), S.hits(F.array_join(free, "\n"), lexicon)).otherwise(none)
+
+    rows = lambda names, rest: F.transform(F.array(F.concat(rest, own(names))), lambda hits: F.transform(names, lambda x: F.struct(x.alias("piece"), hits.alias("_hits"))))[0]
+    total, count = S.hit_totals(F.col("_hits"), lexicon)
+    found = _cut(sentences, lexicon, rows).filter("piece IS NOT NULL").withColumn("score", S.score_of(total, count, None)).withColumn("is_candidate", F.lit(True))
+    return mentions(_resolved(found.select("page_key", "site", "sentence_idx", "is_title", "piece", "is_candidate", "score"), known))
+
+
 def page_entities(scored: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """page_key, site, name, category, count, score, type: mentions and their mean sentiment.
 
@@ -201,13 +234,12 @@ def extract(pages: DataFrame, gazetteer: DataFrame, lexicon: dict[str, int], mod
     good = pages.filter(F.size("text") > 0)
     rejects = pages.filter((F.size("text") <= 0) | F.col("text").isNull()).select("page_key", F.lit("no text").alias("reason"))
     sents = sentence_table(good)
-    marked = "highlighted_strings" in pages.columns
-    resolved = resolve((piece_table if marked else candidate_table)(sents, lexicon), gazetteer)
-    if marked:  # read twice
-        resolved = materialize(resolved, "pieces")
-    # read three times: each would cut and resolve all texts again
-    scored = found = materialize(mentions(with_sentence_score(resolved)), "mentions")
-    if marked:
+    # mentions are read three times: each would cut and resolve all texts again
+    if "highlighted_strings" not in pages.columns:
+        scored = found = materialize(scored_candidates(sents, lexicon, gazetteer), "mentions")
+    else:
+        resolved = materialize(resolve(piece_table(sents, lexicon), gazetteer), "pieces")  # read twice
+        found = materialize(mentions(with_sentence_score(resolved)), "mentions")
         marks = good.select("page_key", F.explode("highlighted_strings").alias("highlight"))
         scored = found.unionByName(scored_mentions(highlight_mentions(sents, marks, gazetteer), sentence_scores(resolved)), allowMissingColumns=True)
     keywords = keyword_entities(good, gazetteer) if "keywords" in pages.columns else None

@@ -129,3 +129,25 @@ def test_known_names_are_broadcast_before_pieces_are_dealt_out(spark, gaz):
     sents = spark.createDataFrame([(1, "s", 0, False, "Rome is good")], "page_key long, site string, sentence_idx int, is_title boolean, sentence string")
     plan = E.resolve(E.candidate_table(sents, LEX), gaz.unionByName(gaz).distinct())._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_scores_are_found_where_sentences_are_cut(spark):
+    gaz = spark.createDataFrame([("Good", "good", "x", False), ("Bad Day", "bad day", "x", False), ("Win", "win", "x", True), ("Paris", "paris", "x", False)], GAZ)
+    texts = ["Good was bad. Superb Paris was bad.", "Win and Bad Day. Bad Days, Éfun Joy and love_it, éhope!", "Paris, Rome. GOOD Paris; Good_day is nice.", "Good. Day Good Paris. Nothing here."]
+    sents = E.sentence_table(pages(spark, [(i, "s", "Happy Paris", [t]) for i, t in enumerate(texts)]))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(E.mentions(E.with_sentence_score(E.resolve(E.piece_table(sents, LEX), gaz))))
+    got = E.scored_candidates(sents, LEX, gaz)
+    assert rows(got) == want and len(want) > 10
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    few = E.scored_candidates(sents, LEX, gaz, most=1)  # two known names hold such words: more than may be loaded
+    assert rows(few) == want
+    assert "Window" in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_test_for_hits_finds_what_cutting_into_words_finds(spark):
+    texts = ["Good", "goods", "a good_day", "égood", "Ha Haha", "hahah", "x-war.", "wars", "", "No", "noé", "\u212aill"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for lex in (LEX, {"no": 1, "not at all": 2, "good": 0}, {"good": 0}):
+        got = df.select(S.has_hit(F.col("t"), lex).alias("a"), (F.size(S.hits(F.col("t"), lex)) > 0).alias("b")).collect()
+        assert all(bool(r.a) == r.b for r in got)
